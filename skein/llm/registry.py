@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from skein.llm.bpe import op5_byte_bpe
 from skein.llm.licenses import op6_license_scan
 from skein.llm.line_dedup import OP4_SQL, op4_line_dedup
 from skein.llm.quality import op8_quality
 from skein.llm.sharding import op7_sharding
 from skein.llm.substring_dedup import OP1_SQL, op1_substring_dedup
+from skein.llm.token_counts import op3_token_counts
 from skein.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_license_scan": op6_license_scan,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
