@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import table
+from skein.llm.bpe import encode
+from skein.llm.common import checkpoint, table
+from skein.llm.decontaminate import drop_contaminated
 from skein.llm.line_dedup import dedup_lines
+from skein.llm.ngram_join import keep_one
 from skein.llm.quality import keep_good
 
 
@@ -19,13 +22,31 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select(*docs.columns)
 
 
-STAGES = [("quality", quality_stage), ("lines", line_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, five words and a similarity of 0.8, the document with the least doc_id stays."""
+    return keep_one(docs, 5, 80, 100)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage like a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text: doc_id, n_tokens and the digests of ids and of what they decode to."""
+    import public_tokenizers
+
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
+STAGES = [("quality", quality_stage), ("lines", line_stage), ("near_duplicates", near_duplicate_stage), ("benchmark", benchmark_stage), ("encoding", encoding_stage)]
 #: Minimum-covariance estimates, SimHash and BPE are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over documents; what a stage leaves is checkpointed, as later stages read it more than once."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,7 +17,9 @@ LOWER = UPPER.lower()
 
 _U = np.uint64
 _IS_SPACE = np.zeros(256, dtype=bool)
+#: For word_spans: bytes that end a word; the second table ends it at all ASCII but letters and digits.
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NOT_ALNUM = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -65,13 +67,13 @@ def lower_bytes(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte spans of all words; row r has words first[r] to first[r + 1] - 1."""
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    space = _IS_SPACE[data]
+    space = breaks[data]
     before, after = np.ones(n, bool), np.ones(n, bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     before[offsets[:-1][offsets[:-1] < n]] = True
