@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import sketch
-from skein.llm.common import gram_hashes, table, text_chunks, valid_starts, word_hashes, word_spans
+from skein.llm.common import checkpoint, gram_hashes, table, text_chunks, valid_starts, word_hashes, word_spans
 
 _U = np.uint64
 #: Words in the shorter runs of which each window's least hash is its anchor.
@@ -19,6 +18,8 @@ ANCHOR_WORDS = 8
 #: Widest row of the sketch: 2**29 cells, one bit each once merged, 64 MB a row.
 MAX_BITS = 29
 DEPTH = 2
+#: Rows of two longs, 8 MB, up to which a counted table is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def _anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -45,17 +46,36 @@ def _windows(batch: pa.RecordBatch, window: int) -> Iterator[tuple]:
         yield low, first, valid_starts(first, window, len(anchors)), anchors, one, (data, starts, ends)
 
 
+def _left(docs: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """docs left join few, which is broadcast if it was counted to be small, else shuffled."""
+    few = checkpoint(few)
+    return docs.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, "left")
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs with text_key, copy (a smaller doc_id has the same text) and row (0; the text_key where rows share a doc_id)."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    light = docs.where("doc_id IS NOT NULL").select("doc_id", "text_key", F.md5("text").alias("digest"))
+    least = light.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = light.join(least, "digest").where("doc_id > least").select("doc_id", "text_key").distinct().withColumn("copy", F.lit(True))
+    shared = light.groupBy("doc_id").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("doc_id", F.lit(True).alias("many"))
+    out = _left(_left(docs, copies, ["doc_id", "text_key"]), shared, ["doc_id"])
+    return out.select("doc_id", "text", "text_key", F.coalesce("copy", F.lit(False)).alias("copy"), F.when(F.col("many"), F.col("text_key")).otherwise(F.lit(0).cast("long")).alias("row"))
+
+
 def repeated_windows(docs: DataFrame, window: int = 50, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, text_key, start): windows whose words also start in a document with a smaller doc_id.
+    """(doc_id, row, start) for the result of with_keys(): windows whose words also start in a document with a smaller doc_id.
+
+    Copies of a whole text take no part: all their windows repeat, and the text's first document stands for them.
 
     1. Each partition counts its windows in a count-min sketch and the sketches are merged. A window is
        counted under its anchor, a part that is the same wherever the window occurs, so the estimate of
        its count is never too low; a run of windows that share an anchor is counted once, and twice if
        the anchor's run comes up again. That takes about one item in 22 words.
-    2. Windows estimated to occur twice or more, and only these, are grouped exactly by a 128-bit hash.
+    2. Windows estimated to occur twice or more, and only these, are grouped exactly by a 96-bit hash.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    docs = docs.where("doc_id IS NOT NULL AND NOT copy").select("doc_id", "row", "text")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch.bits_for(n_bytes / 6 / 22, 16, 16, max_bits)
@@ -70,7 +90,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, max_bits: int = MAX_BITS
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text_key").to_numpy(zero_copy_only=False)
+            ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("row").to_numpy(zero_copy_only=False)
             for low, first, valid, anchors, one, (data, starts, ends) in _windows(batch, window):
                 at = np.flatnonzero(valid)
                 at = at[sketch.flagged(repeated.value, anchors[at])]
@@ -80,11 +100,11 @@ def repeated_windows(docs: DataFrame, window: int = 50, max_bits: int = MAX_BITS
                 hashes, more = gram_hashes(one, window), gram_hashes(word_hashes(data, starts, ends, 1), window)
                 for a in range(0, len(at), 1 << 18):
                     p, r = at[a : a + (1 << 18)], row[a : a + (1 << 18)]
-                    yield pa.record_batch({"h1": hashes[p].view(np.int64), "h2": more[p].view(np.int64), "doc_id": pa.array(ids[r + low], pa.int64()), "text_key": pa.array(keys[r + low], pa.int64()), "start": pa.array(p - first[r], pa.int32())})
+                    yield pa.record_batch({"h1": hashes[p].view(np.int64), "h2": (more[p] >> _U(32)).astype(np.uint32).view(np.int32), "doc_id": pa.array(ids[r + low], pa.int64()), "row": pa.array(keys[r + low], pa.int64()), "start": pa.array(p - first[r], pa.int32())})
 
-    found = docs.where("doc_id is not null").mapInArrow(emit, "h1 long, h2 long, doc_id long, text_key long, start int")
+    found = docs.mapInArrow(emit, "h1 long, h2 int, doc_id long, row long, start int")
     groups = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
-    return found.join(groups, ["h1", "h2"]).where("doc_id > least").select("doc_id", "text_key", "start")
+    return found.join(groups, ["h1", "h2"]).where("doc_id > least").select("doc_id", "row", "start")
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, max_bits: int = MAX_BITS) -> DataFrame:
@@ -95,43 +115,36 @@ def substring_dedup(docs: DataFrame, window: int = 50, max_bits: int = MAX_BITS)
     neither a source nor cut; rows with equal doc_id do not cut one another, and each row is returned.
     Other columns are ignored. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    starts = repeated_windows(docs, window, max_bits).groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    joined = keyed.join(starts, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts")
+    docs = with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    starts = repeated_windows(docs, window, max_bits).groupBy("doc_id", "row").agg(F.collect_set("start").alias("starts"))  # of one document
+    joined = docs.join(starts, ["doc_id", "row"], "left").select("doc_id", "text", "copy", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("starts")
-            n_words, n_removed, kept = [], [], []
+            lists, copies = batch.column("starts"), batch.column("copy").to_pylist()
             for low, high, data, offsets in text_chunks(batch.column("text")):
                 begins, ends, first = word_spans(data, offsets)
                 raw = data.tobytes()
+                n_words, n_removed, kept = [], [], []
                 for r in range(high - low):
                     b, e = begins[first[r] : first[r + 1]], ends[first[r] : first[r + 1]]
-                    removed = np.zeros(len(b) + 1, np.int64)
-                    if lists[low + r].is_valid:
+                    keep = np.ones(len(b), bool)
+                    if copies[low + r] and len(b) >= window:
+                        keep[:] = False
+                    elif lists[low + r].is_valid:
+                        edges = np.zeros(len(b) + 1, np.int64)
                         at = np.asarray(lists[low + r].values, np.int64)
-                        np.add.at(removed, at, 1)
-                        np.add.at(removed, at + window, -1)
-                    keep = np.cumsum(removed)[:-1] == 0
+                        np.add.at(edges, at, 1)
+                        np.add.at(edges, at + window, -1)
+                        keep = np.cumsum(edges)[:-1] == 0
                     n_words.append(len(b))
                     n_removed.append(int(len(b) - keep.sum()))
                     kept.append(b" ".join([raw[x:y] for x, y in zip(b[keep].tolist(), e[keep].tolist(), strict=True)]).decode())
-                    if len(kept) >= 1000:
-                        done = low + r + 1
-                        yield pa.record_batch({"doc_id": batch.column("doc_id")[done - len(kept) : done], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
-                        n_words, n_removed, kept = [], [], []
-            if kept:
-                yield pa.record_batch({"doc_id": batch.column("doc_id")[len(batch) - len(kept) :], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(low, high - low), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
