@@ -29,6 +29,14 @@ def sub_tags(column: str) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["key"] != ""))
 
 
+def sub_tags_of_list(column: str) -> Column:
+    """The map from a list of ``source_tag`` strings, cut at the first underscore; strings without one have an empty source and go."""
+    pairs = F.transform(F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.instr(x, "_") > 1), lambda x: F.struct(F.split(x, "_", 2)[0].alias("k"), F.split(x, "_", 2)[1].alias("v")))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    values = F.transform(keys, lambda k: F.array_distinct(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])))
+    return F.map_from_arrays(keys, values)
+
+
 def flat_sub_tags(column: str) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.map_entries(column), lambda e: F.transform(e["value"], lambda t: F.concat(e["key"], F.lit("_"), t)))))
 
@@ -82,6 +90,29 @@ def index_rows(incoming: DataFrame, settings: Settings, now: int) -> DataFrame:
     )
 
 
+def vector_bytes(*texts: Column) -> Column:
+    """About the bytes that texts take in postings: each distinct token, and two for each occurrence."""
+    own = T.tokens(F.concat_ws(" ", *texts))
+    return F.aggregate(F.array_distinct(own), F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t) + 4) + 2 * F.size(own)
+
+
+def degrade(rows: DataFrame, limit: int) -> DataFrame:
+    """Index rows, those over the limit cut by the first step that is enough: content halved, quartered, dropped; parts to 64 KB; tags to 16 KB and title to 4000 characters."""
+    content, parts, tags, title = F.col("content"), F.col("parts_text"), F.col("tags_text"), F.col("title")
+    half = lambda k: cut_bytes(content, F.floor(F.octet_length(content) / k).cast("int"))
+    none, short = F.lit(""), (cut_bytes(parts, F.lit(65_536)), cut_bytes(tags, F.lit(16_384)), F.substring(title, 1, 4000))
+    steps = [
+        (content, parts, tags, title, ""), (half(2), parts, tags, title, "content cut to a half"), (half(4), parts, tags, title, "content cut to a quarter"), (none, parts, tags, title, "content left out"),
+        (none, short[0], tags, title, "content left out, parts cut"), (none, *short, "content left out, parts, tags and title cut"),
+    ]
+    pick = None
+    for c, p, g, t, said in reversed(steps):
+        own = F.struct(c.alias("content"), p.alias("parts_text"), g.alias("tags_text"), t.alias("title"), F.concat_ws("; ", F.nullif("warning", F.lit("")), F.nullif(F.lit(said), F.lit(""))).alias("warning"))
+        pick = own if pick is None else F.when(vector_bytes(t, t, g, p, c) <= limit, own).otherwise(pick)
+    names = ("content", "parts_text", "tags_text", "title", "warning")
+    return rows.withColumn("_pick", pick).withColumns({n: F.col(f"_pick.{n}") for n in names}).select(*rows.columns)
+
+
 def latest(incoming: DataFrame, order: str = "indexed_at") -> DataFrame:
     """The last row of each key, by a column of arrival."""
     w = Window.partitionBy("provider_id", "document_id").orderBy(F.desc(order))

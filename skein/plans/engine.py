@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from skein.access import Access, viewer_tokens
 from skein.functions.analyzer import stop_words
+from skein.functions import text as T
 from skein.functions.text import lower_text
 from skein.functions.trigram import word_similarity
 from skein.model import DOCUMENT, POSTING, SURFACE, WORD, SearchRequest, SearchResult
 from skein.operators import expand, filters
 from skein.operators.excerpt import excerpts, preview
+from skein.operators.language import detect
 from skein.operators.match import Compiled, candidates, frequencies, ranked
 from skein.operators.query import Query, parse
 from skein.plans import build
@@ -95,42 +97,64 @@ class Engine:
 
     # -- changes
 
-    def _write(self, docs: DataFrame, max_id: int, vocabulary: DataFrame | None = None) -> None:
-        """A generation from a plan for docs: docs first, so that derived tables read it back instead of computing it again."""
+    def _write(self, docs: DataFrame, max_id: int, changed: DataFrame | None = None) -> None:
+        """A generation from a plan for docs, which is written first and read back by all that derives from it.
+
+        changed: (id) of documents that are new, different or gone. Only these are analysed; what the index has
+        of the others is carried over. Without it, everything is built anew.
+        """
+        old = {n: self.store.table(n) for n in ("postings", "surface", "words")} if changed is not None else {}
         self.store.write({"docs": docs})
         docs = self.store.table("docs")
         facts = docs.agg(F.count("*").alias("n"), F.max("id").alias("m")).first()
-        self.store.write({"postings": build.postings(docs, self.settings.languages), "surface": build.surface(docs)}, n_docs=facts["n"], max_id=max(max_id, facts["m"] or 0))
-        words = build.vocabulary(self.store.table("surface")) if vocabulary is None else vocabulary
-        self.store.write({"words": words})
+        part = docs if changed is None else docs.join(changed, "id", "left_semi")
+        tables = {"postings": build.postings(part, self.settings.languages), "surface": build.surface(part)}
+        if changed is not None:
+            tables = {n: old[n].join(changed, "id", "left_anti").select(*df.columns).unionByName(df) for n, df in tables.items()}
+        self.store.write(tables, n_docs=facts["n"], max_id=max(max_id, facts["m"] or 0))
+        if changed is None:
+            self.store.write({"words": build.vocabulary(self.store.table("surface"))})
+        elif self.settings.typo_correction:
+            fresh = build.vocabulary(self.store.table("surface").join(changed, "id", "left_semi"))
+            # Words of texts that are gone stay until the vocabulary is rebuilt.
+            self.store.write({"words": old["words"].unionByName(fresh.join(old["words"].select("word"), "word", "left_anti").select("word", "folded"))})
+
+    def index(self, incoming: DataFrame, now: int | None = None, max_vector_bytes: int = 0) -> None:
+        """Add or change a batch of documents (model.INCOMING), each key once; see build.latest() for repeated keys.
 
-    def index(self, incoming: DataFrame, now: int | None = None) -> None:
-        """Add or change a batch of documents (model.INCOMING), each key once; see build.latest() for repeated keys."""
+        With max_vector_bytes, documents that would take more room in the index lose text step by step, and get a warning.
+        """
         self.load()
         rows = build.index_rows(incoming, self.settings, int(time.time()) if now is None else now)
+        if max_vector_bytes:
+            rows = build.degrade(rows, max_vector_bytes)
         staged = f"{self.store.path}/_staged-{uuid.uuid4().hex}"
         rows.write.parquet(staged)  # extraction runs once, and ids are dealt out over what is on disk
         new = self.spark.read.parquet(staged)
-        old_words = self.store.table("words")
         meta = self.store.meta()
-        docs = build.upsert(self.store.table("docs"), new, meta["max_id"])
-        if self.settings.typo_correction:
-            self._write(docs, meta["max_id"])
-            added = build.vocabulary(self.store.table("surface"))
-            kept = old_words.join(added.select("word"), "word", "left_anti")
-            # Words of texts that are gone stay until the vocabulary is rebuilt.
-            self.store.write({"words": added.unionByName(kept)})
-        else:
-            self._write(docs, meta["max_id"], old_words)
-        self.store._fs.delete(self.store._path(staged), True)
+        marked = build.upsert(self.store.table("docs"), new, meta["max_id"])
+        ids = f"{self.store.path}/_ids-{uuid.uuid4().hex}"
+        target = f"{self.store.path}/_docs-{uuid.uuid4().hex}"
+        marked.write.parquet(target)
+        docs = self.spark.read.parquet(target)
+        docs.join(new.select("provider_id", "document_id"), ["provider_id", "document_id"], "left_semi").select("id").write.parquet(ids)
+        self._write(docs, meta["max_id"], self.spark.read.parquet(ids))
+        for path in (staged, ids, target):
+            self.store._fs.delete(self.store._path(path), True)
+
+    def _remove(self, gone: DataFrame) -> None:
+        path = f"{self.store.path}/_ids-{uuid.uuid4().hex}"
+        gone.select("id").write.parquet(path)
+        ids = self.spark.read.parquet(path)
+        self._write(self.store.table("docs").join(ids, "id", "left_anti"), self.store.meta()["max_id"], ids)
+        self.store._fs.delete(self.store._path(path), True)
 
     def delete(self, keys: DataFrame | Sequence[tuple[str, str]]) -> None:
         """Remove documents by (provider_id, document_id); absent ones are no error."""
         self.load()
         if not isinstance(keys, DataFrame):
             keys = self.spark.createDataFrame(list(keys), "provider_id string, document_id string")
-        docs = self.store.table("docs").join(keys.select("provider_id", "document_id"), ["provider_id", "document_id"], "left_anti").select(*self.store.table("docs").columns)
-        self._write(docs, self.store.meta()["max_id"], self.store.table("words"))
+        self._remove(self.store.table("docs").join(keys.select("provider_id", "document_id"), ["provider_id", "document_id"], "left_semi"))
 
     def reset(self, provider: str) -> None:
         """Remove a provider's documents; ``all`` empties the index, its words too."""
@@ -138,7 +162,15 @@ class Engine:
         if provider == "all":
             self.store.write({n: self.spark.createDataFrame([], s) for n, s in _SCHEMAS.items()}, n_docs=0)
         else:
-            self._write(self.store.table("docs").where(F.col("provider_id") != provider), self.store.meta()["max_id"], self.store.table("words"))
+            self._remove(self.store.table("docs").where(F.col("provider_id") == provider))
+
+    def rebuild(self) -> None:
+        """Everything derived from stored text, as after a change of language: detected languages, postings, words."""
+        self.load()
+        docs = self.store.table("docs")
+        config = detect(F.col("content"), F.col("parts_text"), F.col("title"), self.settings.languages)
+        docs = docs.withColumn("config", config).withColumn("title_search", T.lower(T.turkish(F.col("title"), F.col("config"))))
+        self._write(docs, self.store.meta()["max_id"])
 
     def rebuild_vocabulary(self) -> int:
         """The vocabulary of what is indexed now, without words of texts that are gone. Readers see the old one until it is done."""
@@ -159,6 +191,17 @@ class Engine:
             "owner": r["owner_id"], "users": [u for u in own["u"] if u != r["owner_id"]], "groups": own["g"], "circles": own["c"], "subtags": r["subtags_map"],
         }
 
+    def alternatives(self, text: str, request: SearchRequest, access: Access) -> dict[str, list[str]]:
+        """Accent variants and spelling corrections of the words of a text, as a search under the request would use them."""
+        self.load()
+        visible = self.store.table("docs").where(filters.of_request(request, viewer_tokens(access), self.settings.languages))
+        words, weights = lower_text(text).split(), filters.weights(request.limit_fields)
+        surface, vocabulary = self.store.table("surface"), self.store.table("words")
+        variants = expand.accent_variants(words, vocabulary, surface, visible, weights)
+        if self.settings.use_trigram:
+            variants |= expand.corrections(words, list(variants), self.settings.languages, vocabulary, surface, visible, weights)
+        return variants
+
     def search(self, request: SearchRequest, access: Access) -> SearchResult:
         """One page of documents that the viewer may see, best first, with the exact total."""
         began = time.time()
@@ -176,10 +219,13 @@ class Engine:
             timer.start()
         try:
             out = self._search(request, access)
-        except Exception:
-            if not timed_out.is_set():
+        except Exception as e:
+            if timed_out.is_set():
+                out = SearchResult(timed_out=True)
+            elif "PatternSyntaxException" in str(e) or "INVALID_PARAMETER_VALUE.PATTERN" in str(e):
+                out = SearchResult()  # a pattern that only the regular-expression engine itself refuses
+            else:
                 raise
-            out = SearchResult(timed_out=True)
         finally:
             if timer:
                 timer.cancel()

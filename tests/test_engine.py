@@ -172,3 +172,35 @@ def test_privacy(spark, tmp_path):
     e.index(frame(spark, [doc(f"x{i}", "", "zanzibar zanzibra", owner="bob") for i in range(8)]), now=2)
     after = e.search(SearchRequest("common zanzibar", provider="files"), ME)
     assert [d["document_id"] for d in before.documents] == [d["document_id"] for d in after.documents] and before.total == after.total
+
+
+def test_rebuild_and_alternatives(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "i"))
+    e.index(frame(spark, [doc("d", "", "die Häuser und die Katzen sind in der Stadt")]), now=1)
+    assert ids(e, "katzen haus") == ["d"] and e.configure({"language": "german,english"})
+    e.rebuild()
+    assert e.store.table("docs").first()["config"] == "german" and ids(e, "+haus") == ["d"]
+    assert e.alternatives("hauser kazten", SearchRequest(provider="files"), ME) == {"hauser": ["häuser"], "kazten": ["katzen"]}
+    e.store.vacuum()
+    assert ids(e, "+haus") == ["d"]
+
+
+def test_degrade(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "i"))
+    e.index(frame(spark, [doc("big", "kept", " ".join(f"word{i}" for i in range(2000))), doc("small", "kept", "tiny")]), now=1, max_vector_bytes=20_000)
+    rows = {r["document_id"]: r for r in e.store.table("docs").collect()}
+    assert rows["small"]["warning"] == "" and rows["big"]["warning"] == "content cut to a half" and ids(e, "word10") == ["big"] and ids(e, "word1990") == []
+
+
+def test_sub_tags(spark):
+    from skein.plans.build import sub_tags_of_list
+
+    df = spark.createDataFrame([(["a_x", "a_y_z", "b_q", "plain", "_e", "a_x"],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(sub_tags_of_list("t")).collect()] == [{"a": ["x", "y_z"], "b": ["q"]}, {}]
+
+
+def test_timeout(engine):
+    slow = with_settings(engine, search_timeout=1)
+    slow._search = lambda request, access: slow.spark.range(10**12).selectExpr("sum(id % 7)").collect()
+    result = slow.search(SearchRequest("x", provider="files"), ME)
+    assert result.timed_out and result.documents == []
