@@ -28,13 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, small: bool = False) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that all executors share.
 
     ``spark.checkpoint.dir`` is honoured; a folder is set here only when neither the setting nor the
-    context has one, which is the case in local tests alone.
+    context has one, which is the case in local tests alone. A table that is small beside its number of
+    partitions is written by four tasks a core at most, each taking partitions in turn, so that it isn't
+    scattered over very many files.
     """
     context = df.sparkSession.sparkContext
+    if small:
+        df = df.coalesce(4 * context.defaultParallelism)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/skein-checkpoints"))
     return df.checkpoint()

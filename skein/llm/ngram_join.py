@@ -15,7 +15,7 @@ from skein.llm.common import checkpoint, lower_bytes, mix, shingle_sets, table,
 _U = np.uint64
 #: Longs of a set's bitmap signature.
 LANES = 8
-#: Bits of the two sketches: shingle counts for the rarity order, and "twice or more" flags of prefix shingles.
+#: Bits of the two sketches over all shingles: counts for the rarity order, and "in two sets or more" flags, 64 MB at most.
 COUNT_BITS, MAX_FLAG_BITS = 21, 29
 #: Sets of a tile that are compared in one task with as many others.
 BLOCK = 256
@@ -33,14 +33,16 @@ def _least_overlap(size: int, num: int, den: int) -> int:
     return -(-size * num // den)
 
 
-def _prefix(grams: np.ndarray, counts: np.ndarray, floor: float, num: int, den: int) -> np.ndarray:
-    """The rarest shingles of a set, so many that linked sets have one of them in common.
+def _prefix(grams: np.ndarray, counts: np.ndarray, repeated: np.ndarray, floor: float, num: int, den: int) -> np.ndarray:
+    """Of the rarest shingles of a set, so many that linked sets have one in common, those that may stand in other sets too.
 
-    The order is (octave of the estimated count above the sketch's noise, hash), the same for every set.
+    The order is the same for every set: shingles that stand in one set only, then by the octave of the
+    estimated count above the sketch's noise, then by hash.
     """
-    count = sketch.estimates(counts, grams)
-    octave = np.floor(np.log2(np.maximum(1.0, count / floor))).astype(np.int64)
-    return grams[np.lexsort((grams, octave))[: len(grams) - _least_overlap(len(grams), num, den) + 1]]
+    again = sketch.flagged(repeated, grams)
+    octave = np.floor(np.log2(np.maximum(1.0, sketch.estimates(counts, grams) / floor))).astype(np.int64) + 1
+    order = np.lexsort((grams, np.where(again, octave, 0)))[: len(grams) - _least_overlap(len(grams), num, den) + 1]
+    return grams[order[again[order]]]
 
 
 def _lanes(grams: np.ndarray) -> list[int]:
@@ -50,8 +52,8 @@ def _lanes(grams: np.ndarray) -> list[int]:
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, size, key1, key2, prefix, lanes): of each text its set's size, a 128-bit key, the prefix shingles that
-    may occur in another prefix too, and its bitmap."""
+    """(doc_id, size, key1, key2, prefix, lanes): of each text its set's size, a 128-bit key, the shingles of its
+    prefix, and its bitmap. Flags and counts are never too low, so no shared shingle is taken for a single one."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,16 +64,9 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     counts = sketch.build(docs.select("text"), shingles, 1, COUNT_BITS, (1 << 32) - 1, partitions)
     total = float(counts.sum(dtype=np.float64))
     floor = 4 * total / counts.shape[1] + 16
-    shared = spark.sparkContext.broadcast(counts)
-    bits = sketch.bits_for(total * (den - num) / den, 8, 16, MAX_FLAG_BITS)
-
-    def prefixes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        # Copies of a set would all flag its prefix, which is harmless: flags only have to miss nothing.
-        for _, grams in _sets(batch, n):
-            if len(grams):
-                yield _prefix(grams, shared.value, floor, num, den)
-
-    flags = spark.sparkContext.broadcast(sketch.build(docs.select("text"), prefixes, 1, bits, 2, partitions))
+    bits = sketch.bits_for(total, 4, 16, MAX_FLAG_BITS)
+    repeated = sketch.build(docs.select("text"), shingles, 1, bits, 2, partitions)
+    shared = spark.sparkContext.broadcast((counts, repeated))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("lanes", pa.list_(pa.int64()))])
@@ -81,8 +76,7 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for row, grams in _sets(batch, n):
                 prefix = np.zeros(0, _U)
                 if len(grams):
-                    prefix = _prefix(grams, shared.value, floor, num, den)
-                    prefix = prefix[sketch.flagged(flags.value, prefix)]
+                    prefix = _prefix(grams, *shared.value, floor, num, den)
                 key1, key2 = mix(grams).sum(dtype=_U), mix(grams ^ _U(0xA0761D6478BD642F)).sum(dtype=_U)
                 out.append({"doc_id": ids[row], "size": len(grams), "key1": int(key1.view(np.int64)), "key2": int(key2.view(np.int64)), "prefix": prefix.view(np.int64).tolist(), "lanes": _lanes(grams)})
                 if len(out) == 1000:
@@ -102,11 +96,29 @@ def _bound(size_a: Column, size_b: Column, lanes_a: list[Column], lanes_b: list[
     return (den * F.least(size_a, size_b) >= num * F.greatest(size_a, size_b)) & (den * most >= num * (size_a + size_b - most))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link, by intersecting their sorted arrays.
+def _wide(grams: np.ndarray) -> bytes:
+    """A bitmap with at least two bits a shingle, so that it tells large sets apart too; a power of two of bytes."""
+    bits = max(6, int(2 * len(grams) - 1).bit_length())
+    out = np.zeros(1 << bits, np.uint8)
+    out[(mix(grams ^ _U(0x2545F4914F6CDD1D)) & _U((1 << bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
+def _wide_bound(x: bytes, y: bytes, size_a: int, size_b: int) -> int:
+    """An upper bound of two sets' overlap; the longer bitmap is folded to the length of the other."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(size_a - int(np.bitwise_count(a & ~b).sum()), size_b - int(np.bitwise_count(b & ~a).sum()))
+
+
+def _of_pairs(pairs: DataFrame, docs: DataFrame, value, kind: str, keep) -> DataFrame:
+    """The pairs (a, b) that ``keep(value_a, value_b)`` is true of, with value(rows' texts) taken of the documents in some pair.
 
-    The arrays of documents in some pair are made anew from their texts; a bounded bitmap of their ids keeps
-    the other texts out of the shuffle.
+    A bounded bitmap of those ids keeps other documents out of the shuffle. An id with several texts has
+    several values, and its pairs stay if any of them does.
     """
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
@@ -116,36 +128,61 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
 
     wanted = spark.sparkContext.broadcast(sketch.build(ids, numbers, 1, 24, 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
             own = batch.column("doc_id").to_numpy().astype(np.int64)
             batch = batch.filter(pa.array(sketch.flagged(wanted.value, own.view(_U))))
-            ids, rows, out = batch.column("doc_id"), [], []
-            for row, grams in _sets(batch, n):
-                rows.append(row)
-                out.append(grams.tobytes())
-                if len(out) == 500:
-                    yield pa.record_batch({"id": ids.take(pa.array(rows)), "grams": pa.array(out, pa.binary())})
-                    rows, out = [], []
-            if out:
-                yield pa.record_batch({"id": ids.take(pa.array(rows)), "grams": pa.array(out, pa.binary())})
+            if len(batch):
+                yield from value(batch)
 
-    sets = docs.where("doc_id IS NOT NULL").mapInArrow(arrays, "id long, grams binary")
-    # One row for an id, whatever rows share it: any of them stands for the set only if all are equal, see ngram_jaccard.
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
+    of = docs.where("doc_id IS NOT NULL").mapInArrow(values, f"id long, value {kind}")
+    both = pairs.join(of.select(F.col("id").alias("b"), F.col("value").alias("value_b")), "b").join(of.select(F.col("id").alias("a"), F.col("value").alias("value_a")), "a")
 
-    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
-                a, b = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(den * shared >= num * (len(a) + len(b) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep(batch.column("value_a"), batch.column("value_b")), pa.bool_()))
+
+    return both.select("a", "b", "value_a", "value_b").mapInArrow(check, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets link: by wide bitmaps first, then by intersecting their sorted arrays.
+
+    Texts travel for the second step, as they take half the room of their arrays.
+    """
 
-    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(intersect, "a long, b long")
+    def bitmaps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, out = [], []
+        for row, grams in _sets(batch, n):
+            rows.append(row)
+            out.append(len(grams).to_bytes(8, "little") + _wide(grams))
+        yield pa.record_batch({"id": batch.column("doc_id").take(pa.array(rows)), "value": pa.array(out, pa.binary())})
+
+    def may_link(left: pa.Array, right: pa.Array) -> list[bool]:
+        out = []
+        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            a, b = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
+            most = _wide_bound(x[8:], y[8:], a, b)
+            out.append(den * most >= num * (a + b - most))
+        return out
+
+    def texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch({"id": batch.column("doc_id"), "value": batch.column("text")})
+
+    def link(left: pa.Array, right: pa.Array) -> list[bool]:
+        out = []
+        held: tuple[str | None, np.ndarray] = (None, np.zeros(0, _U))  # pairs come in runs of one document
+        for x, y in zip(left, right, strict=True):
+            x, y = x.as_py(), y.as_py()
+            if x != held[0]:
+                held = x, next(g for _, g in _sets(pa.record_batch({"text": pa.array([x])}), n))
+            a, b = held[1], next(g for _, g in _sets(pa.record_batch({"text": pa.array([y])}), n))
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(den * shared >= num * (len(a) + len(b) - shared))
+        return out
+
+    close = checkpoint(_of_pairs(pairs, docs, bitmaps, "binary", may_link), small=True)
+    return _of_pairs(close, docs, texts, "string", link)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -154,7 +191,7 @@ def components(links: DataFrame) -> DataFrame:
     A step joins each node to the least of its neighbours; stars are never gathered in a row, so a node with
     very many links costs partial aggregates only. Ends when a round changes no edge.
     """
-    edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), small=True)
     last = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -164,7 +201,7 @@ def components(links: DataFrame) -> DataFrame:
         # Then smaller neighbours and the node itself do.
         small_least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(small_least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u").union(small_least.select("v", F.col("m").alias("u")))
-        edges = checkpoint(small.distinct())
+        edges = checkpoint(small.distinct(), small=True)
         state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == last:
             return edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
@@ -191,7 +228,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = checkpoint(_signatures(docs, n, num, den))
     rows = all_rows.where("doc_id IS NOT NULL AND size > 0")
-    holders = checkpoint(rows.groupBy("key1", "key2", "size").agg(F.min("doc_id").alias("rep")))
+    holders = rows.groupBy("key1", "key2", "size").agg(F.min("doc_id").alias("rep"))
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
     # One row for each set; a doc_id with several texts brings several.
     sets = rows.join(holders.select(F.col("rep").alias("doc_id"), "key1", "key2"), ["doc_id", "key1", "key2"]).dropDuplicates(["doc_id", "key1", "key2"])
@@ -199,6 +236,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     lanes = [f"l{i}" for i in range(LANES)]
     tokens = sets.select("doc_id", F.explode("prefix").alias("token"))
     tiles = tokens.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).where("a < most").select("token", "a")
+    tiles = checkpoint(tiles, small=True)  # a plain input of the join, which can then deal out anew what belongs to a very common shingle
     stars = tokens.withColumnRenamed("doc_id", "b").join(tiles, "token").where("a < b").select("a", "b").distinct()
 
     def side(name: str) -> DataFrame:
@@ -208,14 +246,15 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
         return [F.col(f"{x}_{name}") for x in lanes]
 
     possible = _bound(F.col("size_a"), F.col("size_b"), lane("a"), lane("b"), num, den)
-    first = checkpoint(_verified(checkpoint(stars.join(side("b"), "b").join(side("a"), "a").where(possible).select("a", "b")), docs, n, num, den).distinct())
+    pairs = checkpoint(stars.join(side("b"), "b").join(side("a"), "a").where(possible).select("a", "b"), small=True)
+    first = checkpoint(_verified(pairs, docs, n, num, den), small=True)
     so_far = components(first)
     # Tiles whose sets are not yet of one component.
     known = sets.select("doc_id", "size", "band", "prefix", *lanes).join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     members = known.select("doc_id", "component", "size", "band", *lanes, F.explode("prefix").alias("token"))
     slim = known.select("component", F.explode("prefix").alias("token"))
     open_ = slim.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    members = members.join(checkpoint(open_, small=True), "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A set meets each block of its tile once: the pair of blocks (i, j), i <= j, is a key of its own.
     cut = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
@@ -224,7 +263,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     crossed = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.abs(F.col("band_a") - F.col("band_b")) <= 1)
     met = (F.col("block_a") + F.col("block_b")) == (F.col("i") + F.col("j"))
     more = left.join(right, ["token", "i", "j"]).where(crossed & met & possible).select("a", "b").distinct()
-    second = _verified(checkpoint(more), docs, n, num, den)
+    second = _verified(checkpoint(more, small=True), docs, n, num, den)
     reached = components(first.union(second))
     named = holders.join(reached.withColumnRenamed("id", "rep"), "rep", "left").select("key1", "key2", "size", F.coalesce("component", "rep").alias("component"))
     placed = all_rows.select("doc_id", "size", "key1", "key2").join(named, ["key1", "key2", "size"], "left")

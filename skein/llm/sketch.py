@@ -34,12 +34,37 @@ def _pieces(items: np.ndarray, depth: int, bits: int, top: int) -> Iterator[pa.R
         counts = np.minimum(counts, top)
         shards = own >> shard_bits
         edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(own) else np.zeros(0, int)
-        names, where, what = [], [], []
+        out: dict[str, list] = {"shard": [], "step": [], "cell": [], "width": [], "n": []}
         for low, high in zip(edges, np.r_[edges[1:], len(own)], strict=True):
-            names.append((row << 32) | int(shards[low]))
-            where.append((own[low:high] & ((1 << shard_bits) - 1)).astype(np.uint32).tobytes())
-            what.append(counts[low:high].astype(np.uint8 if top < 256 else np.uint32).tobytes())
-        yield pa.record_batch({"shard": pa.array(names, pa.int64()), "cell": pa.array(where, pa.binary()), "n": pa.array(what, pa.binary())})
+            step, cell, width, n = _packed(own[low:high] & ((1 << shard_bits) - 1), counts[low:high], 1 << shard_bits, top)
+            for name, x in zip(out, ((row << 32) | int(shards[low]), step, cell, width, n), strict=True):
+                out[name].append(x)
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(out.values(), (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=list(out))
+
+
+def _packed(at: np.ndarray, n: np.ndarray, size: int, top: int) -> tuple[int, bytes, int, bytes]:
+    """(bytes of a step, steps from cell to cell, bytes of a count, counts); step 0: all cells in order; count 0: a bit for "twice"."""
+    if top <= 2:
+        width, packed = 0, np.packbits(n >= 2).tobytes()
+    else:
+        width = next(k for k in (1, 2, 4) if int(n.max()) < 1 << 8 * k)
+        if len(at) * 5 > size:  # most cells are in use: all counts in order take less room
+            full = np.zeros(size, f"<u{width}")
+            full[at] = n
+            return 0, b"", width, full.tobytes()
+        packed = n.astype(f"<u{width}").tobytes()
+    steps = np.diff(at, prepend=0)
+    step = 1 if int(steps.max()) < 256 else 2 if int(steps.max()) < 65536 else 4
+    return step, steps.astype(f"<u{step}").tobytes(), width, packed
+
+
+def _add(total: np.ndarray, step: int, cell: bytes, width: int, n: bytes, top: int) -> None:
+    if step == 0:
+        total[:] = np.minimum(total.astype(np.int64) + np.frombuffer(n, f"<u{width}"), top)
+        return
+    at = np.cumsum(np.frombuffer(cell, f"<u{step}"), dtype=np.int64)
+    more = np.unpackbits(np.frombuffer(n, np.uint8), count=len(at)) + 1 if width == 0 else np.frombuffer(n, f"<u{width}")
+    total[at] = np.minimum(total[at].astype(np.int64) + more, top)
 
 
 def build(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], depth: int, bits: int, top: int, partitions: int) -> np.ndarray:
@@ -67,19 +92,17 @@ def build(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarra
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for name, where, what in zip(batch.column("shard").to_pylist(), batch.column("cell").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                total = sums.setdefault(name, np.zeros(1 << shard_bits, np.uint8 if packed else np.uint32))
-                at, n = np.frombuffer(where, np.uint32), np.frombuffer(what, np.uint8 if top < 256 else np.uint32)
-                total[at] = np.minimum(total[at].astype(np.int64) + n, top)
+            for name, step, cell, width, n in zip(*[batch.column(c).to_pylist() for c in ("shard", "step", "cell", "width", "n")], strict=True):
+                _add(sums.setdefault(name, np.zeros(1 << shard_bits, np.uint8 if packed else np.uint32)), step, cell, width, n, top)
         for name, total in sums.items():
             payload = np.packbits(total >= top) if packed else total
             yield pa.record_batch({"shard": pa.array([name], pa.int64()), "cells": pa.array([payload.tobytes()], pa.binary())})
 
-    pieces = df.mapInArrow(count, "shard long, cell binary, n binary")
+    pieces = df.mapInArrow(count, "shard long, step int, cell binary, width int, n binary")
     merged = pieces.repartition(partitions, "shard").mapInArrow(merge, "shard long, cells binary")
     out = np.zeros((depth, (1 << bits) // 8), np.uint8) if packed else np.zeros((depth, 1 << bits), np.uint32)
     per = (1 << shard_bits) // 8 if packed else 1 << shard_bits
-    for row in merged.toLocalIterator():  # at most depth * 2**bits cells in all
+    for row in merged.collect():  # at most depth * 2**bits cells in all
         level, shard = row["shard"] >> 32, row["shard"] & 0xFFFFFFFF
         out[level, shard * per : (shard + 1) * per] = np.frombuffer(row["cells"], out.dtype)
     return out
