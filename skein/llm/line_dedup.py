@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import table
+from skein.llm.common import checkpoint, table
 
 #: A boundary depends on this many lines, so that an insertion moves no boundary beyond them.
 ROLL = 2
@@ -54,6 +54,8 @@ def dedup_lines(docs: DataFrame, roll: int = ROLL, spread: int = SPREAD) -> Data
     chunked = with_chunks(slim, roll, spread).select("doc_id", F.xxhash64("text").alias("text_key"), F.explode_outer("d_chunks").alias("c")).where("c.n >= 2")  # explode() would push a filter that chunks every text again
     places = chunked.select("doc_id", "text_key", "c.k", "c.start", "c.n", "c.key")
     firsts = places.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_key", "k", "start", "n")).alias("first")).where("times > 1")
+    # Written out, so that the joins below have it as a plain input: only then are chunks that very many documents have dealt out anew.
+    firsts = checkpoint(firsts)
     # The bytes of each first copy, read from its own document.
     wanted = firsts.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), F.struct("key", F.col("first.start").alias("start"), F.col("first.n").alias("n")).alias("w"))
     wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list("w").alias("ws"))  # of one document: no more than it has chunks
