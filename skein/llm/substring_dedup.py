@@ -104,6 +104,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, max_bits: int = MAX_BITS
 
     found = docs.mapInArrow(emit, "h1 long, h2 int, doc_id long, row long, start int")
     groups = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
+    # Written out, so that the join has it as a plain input: only then are windows that very many documents have dealt out anew.
+    groups = checkpoint(groups)
     return found.join(groups, ["h1", "h2"]).where("doc_id > least").select("doc_id", "row", "start")
 
 
