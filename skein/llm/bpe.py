@@ -18,7 +18,7 @@ from skein.llm.common import table
 NONE = np.int32(2**31 - 1)
 #: Characters of text whose distinct words are encoded together, and words whose ids a worker keeps for later blocks.
 BLOCK = 8_000_000
-MEMO = 400_000
+MEMO = 300_000
 
 
 class Codec:
@@ -185,7 +185,7 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _slices(batch: pa.RecordBatch, name: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, name: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``limit`` bytes, so that what a run turns into stays small too."""
     sizes = np.array([len(x) if x is not None else 0 for x in batch.column(name).cast(pa.large_binary()).to_pylist()], np.int64)
     low, total = 0, 0

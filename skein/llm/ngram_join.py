@@ -64,7 +64,7 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     counts = sketch.build(docs.select("text"), shingles, 1, COUNT_BITS, (1 << 32) - 1, partitions)
     total = float(counts.sum(dtype=np.float64))
     floor = 4 * total / counts.shape[1] + 16
-    bits = sketch.bits_for(total, 4, 16, MAX_FLAG_BITS)
+    bits = sketch.bits_for(total, 2, 16, MAX_FLAG_BITS)
     repeated = sketch.build(docs.select("text"), shingles, 1, bits, 2, partitions)
     shared = spark.sparkContext.broadcast((counts, repeated))
 
