@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import table
 
 #: Entries that each of a worker's memos may hold; a full memo is emptied, which costs time only.
-MEMO = 800_000
+MEMO = 1_600_000
 #: How this kind of tokenizer cuts a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CONTRACTION = regex.compile(r"'(?:re|ve|ll)$")
@@ -49,7 +49,12 @@ class TokenCounter:
         self.tokens = {as_bytes(t) for t in model["vocab"] if t not in special}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.ranks = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.tokens))
+        #: Of each merged token: rank, left and right part.
+        self.made = {a + b: (i, a, b) for (a, b), i in self.ranks.items()}
+        self.reach: dict[bytes, int] = {}
+        for t in self.tokens:
+            if len(t) > 2:
+                self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pieces = regex.compile(PIECES)
         self.apart: dict[tuple[bytes, bytes], bool] = {}
@@ -75,24 +80,47 @@ class TokenCounter:
         return parts
 
     def stays(self, left: bytes, right: bytes) -> bool:
-        """Whether the merge rules leave these two tokens as they are; with no left, whether they make the right one."""
+        """Whether the merge rules leave these two tokens as they are; with no left, whether they make the right one.
+
+        The tokens are taken apart again from the last merge on. A merge across their border that comes before
+        the one that made the part next to it would have happened first; of equal ones, the left comes first.
+        """
         known = self.apart.get((left, right))
         if known is None:
             if len(self.apart) >= MEMO:
                 self.apart.clear()
-            known = self.apart[left, right] = self.merge(left + right) == ([left, right] if left else [right])
+            known = self.apart[left, right] = self._across(left, right) if left else self.merge(right) == [right]
         return known
 
+    def _across(self, left: bytes, right: bytes) -> bool:
+        limit = 1 << 40
+        while True:
+            rank = self.ranks.get((left, right))
+            if rank is not None and rank < limit:
+                return False
+            made_left, made_right = self.made.get(left), self.made.get(right)
+            if made_left is None and made_right is None:
+                return True
+            if made_right is None or made_left is not None and made_left[0] > made_right[0]:
+                limit, left = made_left[0], made_left[2]
+            else:
+                limit, right = made_right[0] + 1, made_right[1]
+
     def prefixes(self, piece: bytes) -> list[int]:
         """Token counts of piece[:0], piece[:1], ... piece."""
+        tokens, apart, reach = self.tokens, self.apart, self.reach
         last, count = [b""], [0]
         for i in range(1, len(piece) + 1):
-            for j in range(max(0, i - self.longest), i):
+            # No token that ends in these three bytes is longer.
+            for j in range(max(0, i - reach.get(piece[i - 3 : i], 2)) if i > 2 else 0, i):
                 token = piece[j:i]
-                if token in self.tokens and self.stays(last[j], token):
-                    last.append(token)
-                    count.append(count[j] + 1)
-                    break
+                if token in tokens:
+                    left = last[j]
+                    known = apart.get((left, token))
+                    if known if known is not None else self.stays(left, token):
+                        last.append(token)
+                        count.append(count[j] + 1)
+                        break
             else:
                 raise ValueError("a byte is missing from the vocabulary")
         return count
