@@ -18,7 +18,7 @@ FLOOR = (0.25, 1.0, 1.0, 1.0)
 SHARE, CORRECTION, STEPS = 0.75, 1.485, 4
 #: A vector is rejected beyond this squared Mahalanobis distance, which four normal features pass once in 20,000 rows.
 CUTOFF = 25.0
-#: Groups with fewer rows give no estimate and reject nothing.
+#: A group with fewer passing rows is judged by the estimate of its language, a language with fewer by that of the whole table.
 LEAST_ROWS = 40
 #: Estimates are broadcast up to this many groups, 200 bytes each; more groups are joined by a shuffle.
 BROADCAST_GROUPS = 40_000
@@ -65,18 +65,37 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     })
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
+def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(vectors, pairs, number of groups) of the rows that pass the base rules.
+
+    vectors: the distinct feature vectors of each group g that is estimated, each with its number k of rows.
+    pairs: each language and source with its g, the array of both, of the language alone, or of nothing.
+    """
+    vectors = checkpoint(rows.groupBy("q_lang", "q_source", *FEATURES).agg(F.count("*").alias("k")))
+    pairs = vectors.groupBy("q_lang", "q_source").agg(F.sum("k").alias("n"))
+    langs = pairs.groupBy("q_lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    own, lang, whole = F.array("q_lang", "q_source"), F.array("q_lang"), F.array().cast("array<string>")
+    pairs = checkpoint(pairs.join(langs, "q_lang").withColumn("g", F.when(F.col("n") >= LEAST_ROWS, own).when(F.col("n_lang") >= LEAST_ROWS, lang).otherwise(whole)))
+    n_groups = pairs.select("g").distinct().count()
+    any_whole = F.lit(pairs.where(F.size("g") == 0).limit(1).count() > 0)
+    by_lang = (F.col("least") < LEAST_ROWS) & (F.col("n_lang") >= LEAST_ROWS)
+    of = F.array_compact(F.array(F.when(F.size("g") == 2, own), F.when(by_lang, lang), F.when(any_whole, whole)))
+    vectors = vectors.join(pairs, ["q_lang", "q_source"]).select(F.explode_outer(of).alias("g"), *FEATURES, "k")
+    return checkpoint(vectors.groupBy("g", *FEATURES).agg(F.sum("k").alias("k"))), pairs.select("q_lang", "q_source", "g"), n_groups
+
+
+def _estimate(vectors: DataFrame) -> DataFrame:
     """Mean and lower triangle of the covariance of each group, from exact whole-number sums."""
     pairs = [(i, j) for i in range(4) for j in range(i + 1)]
-    sums = rows.groupBy("q_lang", "q_source").agg(
-        F.count("*").alias("n"),
-        *[F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)],
-        *[F.sum((F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("decimal(38,0)")).alias(f"p{i}{j}") for i, j in pairs],
+    sums = vectors.groupBy("g").agg(
+        F.sum("k").alias("n"),
+        *[F.sum(F.col("k") * F.col(x)).alias(f"s{i}") for i, x in enumerate(FEATURES)],
+        *[F.sum((F.col("k") * F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("decimal(38,0)")).alias(f"p{i}{j}") for i, j in pairs],
     )
     mean = [F.col(f"s{i}") / F.col("n") / SCALE for i in range(4)]
     cov = {(i, j): F.col(f"p{i}{j}").cast("double") / F.col("n") / SCALE**2 - mean[i] * mean[j] for i, j in pairs}
     out = sums.select(
-        "q_lang", "q_source", F.col("n").alias("e_n"),
+        "g",
         *[mean[i].alias(f"m{i}") for i in range(4)],
         *[(F.greatest(cov[i, j] * CORRECTION, F.lit(FLOOR[i] ** 2)) if i == j else cov[i, j] * CORRECTION).alias(f"c{i}{j}") for i, j in pairs],
     )
@@ -92,36 +111,36 @@ def _estimate(rows: DataFrame) -> DataFrame:
             for k in range(j, i):
                 left = left - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
             out = out.withColumn(f"w{i}{j}", left / F.col(f"l{i}{i}"))
-    return checkpoint(out.select("q_lang", "q_source", "e_n", *[f"m{i}" for i in range(4)], *[f"w{i}{j}" for i, j in pairs]))
+    return checkpoint(out.select("g", *[f"m{i}" for i in range(4)], *[f"w{i}{j}" for i, j in pairs]))
 
 
-def _with_distance(rows: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance; null where the group has no estimate."""
-    joined = rows.join(F.broadcast(estimates) if n_groups <= BROADCAST_GROUPS else estimates, ["q_lang", "q_source"], "left")
+def _with_distance(rows: DataFrame, estimates: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance; null where there is no estimate."""
+    joined = rows.join(F.broadcast(estimates) if n_groups <= BROADCAST_GROUPS else estimates, keys, "left")
     apart = [F.col(x) / SCALE - F.col(f"m{i}") for i, x in enumerate(FEATURES)]
     white = [sum((F.col(f"w{i}{j}") * apart[j] for j in range(1, i + 1)), F.col(f"w{i}0") * apart[0]) for i in range(4)]
     return joined.withColumn("d2", sum((z * z for z in white[1:]), white[0] * white[0]))
 
 
 def mcd_estimates(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(estimates, number of groups): one row for each language and source with rows that pass the base rules.
+    """(estimates, their number): one row for each language and source with rows that pass the base rules.
 
     Concentration steps: from the mean and covariance of the whole group, each step keeps the SHARE of
     the group that lies nearest and estimates anew, which never raises the determinant. Which rows lie
     nearest is read from a histogram of distances in 1/8 octaves, counted over all rows of the group.
     """
-    rows = rows.where("NOT q_failed").select("q_lang", "q_source", *FEATURES)
-    estimates = _estimate(rows).where(F.col("e_n") >= LEAST_ROWS)
-    n_groups = estimates.count()
+    vectors, pairs, n_groups = _groups(rows.where("NOT q_failed"))
+    estimates = _estimate(vectors)
     for _ in range(STEPS):
-        placed = _with_distance(rows, estimates, n_groups).where("d2 IS NOT NULL").withColumn("bin", F.floor(8 * F.log2(F.col("d2") + 1e-6)).cast("int"))
-        bins = placed.groupBy("q_lang", "q_source", "bin").agg(F.count("*").alias("k"))
-        whole = Window.partitionBy("q_lang", "q_source")
+        placed = _with_distance(vectors, estimates, ["g"], n_groups).withColumn("bin", F.floor(8 * F.log2(F.col("d2") + 1e-6)).cast("int"))
+        bins = placed.groupBy("g", "bin").agg(F.sum("k").alias("k"))
+        whole = Window.partitionBy("g")
         bins = bins.withColumns({"up": F.sum("k").over(whole.orderBy("bin")), "all": F.sum("k").over(whole)})
-        limits = bins.where(F.col("up") >= F.col("all") * SHARE).groupBy("q_lang", "q_source").agg(F.min("bin").alias("limit"))
-        near = placed.join(F.broadcast(limits) if n_groups <= BROADCAST_GROUPS else limits, ["q_lang", "q_source"]).where("bin <= limit")
+        limits = bins.where(F.col("up") >= F.col("all") * SHARE).groupBy("g").agg(F.min("bin").alias("limit"))
+        near = placed.join(F.broadcast(limits) if n_groups <= BROADCAST_GROUPS else limits, ["g"]).where("bin <= limit")
         estimates = _estimate(near)
-    return estimates, n_groups
+    estimates = checkpoint(pairs.join(estimates, "g").drop("g"))
+    return estimates, estimates.count()
 
 
 def with_verdict(rows: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
@@ -129,15 +148,15 @@ def with_verdict(rows: DataFrame, estimates: DataFrame, n_groups: int) -> DataFr
     own = rows.columns
     # One comparison, not a conjunction: a filter on it then stays above the join instead of computing statistics twice.
     score = F.greatest(F.coalesce("d2", F.lit(0.0)), F.col("q_failed").cast("double") * 1e300)
-    return _with_distance(rows, estimates, n_groups).select(*own, (score <= CUTOFF).alias("q_kept"))
+    return _with_distance(rows, estimates, ["q_lang", "q_source"], n_groups).select(*own, (score <= CUTOFF).alias("q_kept"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of docs.
 
     A null or empty text has no words and fails the base rules. Null language or source counts as the
-    empty string. Groups with fewer than LEAST_ROWS passing rows reject nothing further. Every row is
-    judged, repeated ones alike. Columns other than doc_id, text, lang and source are ignored.
+    empty string. Groups with fewer than LEAST_ROWS passing rows are judged by their language, and by the
+    whole table where that has fewer too. Every row is judged, repeated ones alike. Columns other than doc_id, text, lang and source are ignored.
     """
     rows = checkpoint(with_statistics(docs.select("doc_id", "text", "lang", "source")).drop("text", "lang", "source"))
     return with_verdict(rows, *mcd_estimates(rows)).select(

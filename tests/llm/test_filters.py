@@ -83,6 +83,19 @@ def test_quality_outliers(spark):
     assert kept == {i for i, *_ in rows if not 1000 <= i < 2000}
 
 
+def test_quality_small_groups(spark):
+    """Junk in sources, and in languages, too small for an estimate of their own."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    good = lambda: " ".join(word() for _ in range(rng.randint(30, 200)))
+    junk = lambda: " ".join(word() + "###" for _ in range(80))
+    rows = [(i, good(), "en", f"s{i % 30}") for i in range(300)] + [(1000 + i, junk(), "en", f"s{i}") for i in range(30)]
+    rows += [(500 + i, good(), f"l{i}", "s") for i in range(20)] + [(1100 + i, junk(), f"l{i}", "s") for i in range(5)] + [(1200, junk(), "alone", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in quality(docs).where("kept").collect()} == {i for i, *_ in rows if i < 1000}
+    assert keep_good(docs.where("doc_id >= 500 AND doc_id < 1102")).count() > 0
+
+
 def test_urls(spark, no_docs):
     urls = ["http://example.org/en/1", "https://A.Example.ORG/en/12?x=1", "http://example.org/es/a/b", "x://notexample.org/es/", "http://b.com/fr/x", "http://b.com/de/", "http://com/de/", "HTTP://b.com", "b.com/de/", None, "", "a://", "://org/", "http://org#f", "http://a.b.c.org?q", "http://example.org/es", "http://.org/", "ftp://u.example.org/en/1://z"]
     rows = [(i % 15, u, 1) for i, u in enumerate(urls + urls[:3])]
