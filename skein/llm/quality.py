@@ -13,9 +13,16 @@ SYMBOLS = "#*$%&|<>"
 SCALE = 256
 FEATURES = ("q_length", "q_symbols", "q_lines", "q_repeats")
 #: Least standard deviation of each feature, in octaves: a statistic that is the same nearly everywhere still has a scale.
+#: Its square is added to the variance. As a mere lower bound it would let a mixture along a line have the least determinant.
 FLOOR = (0.25, 1.0, 1.0, 1.0)
-#: Share of a group that the covariance determinant is made least over, its correction for four normal features, and steps.
-SHARE, CORRECTION, STEPS = 0.75, 1.485, 4
+#: Share of a group that the covariance determinant is made least over, and its correction for four normal features.
+SHARE, CORRECTION = 0.5, 2.109
+#: The last estimate is over all vectors within this squared distance, 97.5 % of normal ones, with its own correction.
+NEAR, NEAR_CORRECTION = 11.143, 1.0645
+#: Concentration starts from the centres at these quantiles of each feature, and from mean and covariance.
+QUANTILES = (0.5, 0.25, 0.75)
+#: It ends when a step lowers the logarithm of the determinant by no more than this.
+CONVERGED = 1e-3
 #: A vector is rejected beyond this squared Mahalanobis distance, which four normal features pass once in 20,000 rows.
 CUTOFF = 25.0
 #: A group with fewer passing rows is judged by the estimate of its language, a language with fewer by that of the whole table.
@@ -84,10 +91,10 @@ def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return checkpoint(vectors.groupBy("g", *FEATURES).agg(F.sum("k").alias("k"))), pairs.select("q_lang", "q_source", "g"), n_groups
 
 
-def _estimate(vectors: DataFrame) -> DataFrame:
-    """Mean and lower triangle of the covariance of each group, from exact whole-number sums."""
+def _estimate(vectors: DataFrame, keys: list[str], correction: float) -> DataFrame:
+    """Mean, inverse Cholesky factor and log determinant of the covariance of each group, from exact whole-number sums."""
     pairs = [(i, j) for i in range(4) for j in range(i + 1)]
-    sums = vectors.groupBy("g").agg(
+    sums = vectors.groupBy(*keys).agg(
         F.sum("k").alias("n"),
         *[F.sum(F.col("k") * F.col(x)).alias(f"s{i}") for i, x in enumerate(FEATURES)],
         *[F.sum((F.col("k") * F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("decimal(38,0)")).alias(f"p{i}{j}") for i, j in pairs],
@@ -95,9 +102,9 @@ def _estimate(vectors: DataFrame) -> DataFrame:
     mean = [F.col(f"s{i}") / F.col("n") / SCALE for i in range(4)]
     cov = {(i, j): F.col(f"p{i}{j}").cast("double") / F.col("n") / SCALE**2 - mean[i] * mean[j] for i, j in pairs}
     out = sums.select(
-        "g",
+        *keys,
         *[mean[i].alias(f"m{i}") for i in range(4)],
-        *[(F.greatest(cov[i, j] * CORRECTION, F.lit(FLOOR[i] ** 2)) if i == j else cov[i, j] * CORRECTION).alias(f"c{i}{j}") for i, j in pairs],
+        *[(cov[i, j] * correction + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in pairs],
     )
     # Cholesky's factor l and its inverse w, on the few rows of estimates: d2 is then the squared length of w (x - m).
     for i, j in pairs:
@@ -111,7 +118,8 @@ def _estimate(vectors: DataFrame) -> DataFrame:
             for k in range(j, i):
                 left = left - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
             out = out.withColumn(f"w{i}{j}", left / F.col(f"l{i}{i}"))
-    return checkpoint(out.select("g", *[f"m{i}" for i in range(4)], *[f"w{i}{j}" for i, j in pairs]))
+    det = 2 * F.log(F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33"))
+    return out.select(*keys, *[f"m{i}" for i in range(4)], *[f"w{i}{j}" for i, j in pairs], det.alias("det"))
 
 
 def _with_distance(rows: DataFrame, estimates: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
@@ -122,23 +130,57 @@ def _with_distance(rows: DataFrame, estimates: DataFrame, keys: list[str], n_gro
     return joined.withColumn("d2", sum((z * z for z in white[1:]), white[0] * white[0]))
 
 
+def _starts(vectors: DataFrame, n_groups: int) -> DataFrame:
+    """(g, start, estimate): mean and covariance, and for each of QUANTILES the centre there with the median distance from it as scale.
+
+    Quantiles are exact: they count the whole-number values of each feature.
+    """
+    k, n = F.col("k"), len(QUANTILES)
+    centres = vectors.groupBy("g").agg(*[F.percentile(x, list(QUANTILES), k).alias(f"h{i}") for i, x in enumerate(FEATURES)])
+    apart = vectors.join(F.broadcast(centres) if n_groups <= BROADCAST_GROUPS else centres, "g")
+    scales = [F.percentile(F.abs(F.col(x) - F.get(f"h{i}", F.lit(q))), 0.5, k).alias(f"a{i}{q}") for i, x in enumerate(FEATURES) for q in range(n)]
+    found = apart.groupBy("g").agg(*[F.first(f"h{i}").alias(f"h{i}") for i in range(4)], *scales)
+
+    def values(q: int) -> list[Column]:
+        sds = [F.greatest(1.4826 * F.col(f"a{i}{q}") / SCALE, F.lit(FLOOR[i])) for i in range(4)]
+        inverse = [(1 / sds[i] if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i in range(4) for j in range(i + 1)]
+        return [F.lit(q + 1).alias("start"), *[(F.get(f"h{i}", F.lit(q)) / SCALE).alias(f"m{i}") for i in range(4)], *inverse]
+
+    own = [F.struct(*values(q)) for q in range(n)]
+    robust = found.select("g", F.explode_outer(F.array(*own)).alias("v")).select("g", "v.*")
+    plain = _estimate(vectors, ["g"], 1.0).drop("det").withColumn("start", F.lit(0))
+    return robust.unionByName(plain)
+
+
 def mcd_estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     """(estimates, their number): one row for each language and source with rows that pass the base rules.
 
-    Concentration steps: from the mean and covariance of the whole group, each step keeps the SHARE of
-    the group that lies nearest and estimates anew, which never raises the determinant. Which rows lie
-    nearest is read from a histogram of distances in 1/8 octaves, counted over all rows of the group.
+    Concentration steps from each of the starts: a step keeps the SHARE of the group that lies nearest and
+    estimates anew, for as long as that lowers the determinant. Which rows lie nearest is read from a
+    histogram of distances in 1/8 octaves, counted over all rows of the group. The start that ends with the
+    least determinant gives the group's estimate, made anew over all vectors within NEAR of it.
     """
     vectors, pairs, n_groups = _groups(rows.where("NOT q_failed"))
-    estimates = _estimate(vectors)
-    for _ in range(STEPS):
-        placed = _with_distance(vectors, estimates, ["g"], n_groups).withColumn("bin", F.floor(8 * F.log2(F.col("d2") + 1e-6)).cast("int"))
-        bins = placed.groupBy("g", "bin").agg(F.sum("k").alias("k"))
-        whole = Window.partitionBy("g")
+    n_starts = n_groups * (1 + len(QUANTILES))
+    keys = ["g", "start"]
+    state = checkpoint(_starts(vectors, n_groups).withColumns({"det": F.lit(float("inf")), "moving": F.lit(True)}))
+    while state.where("moving").limit(1).count():
+        placed = _with_distance(vectors, state.where("moving").drop("det", "moving"), ["g"], n_starts).where("start IS NOT NULL")
+        placed = placed.withColumn("bin", F.floor(8 * F.log2(F.col("d2") + 1e-6)).cast("int")).select(*keys, *FEATURES, "k", "bin")
+        bins = placed.groupBy(*keys, "bin").agg(F.sum("k").alias("k"))
+        whole = Window.partitionBy(*keys)
         bins = bins.withColumns({"up": F.sum("k").over(whole.orderBy("bin")), "all": F.sum("k").over(whole)})
-        limits = bins.where(F.col("up") >= F.col("all") * SHARE).groupBy("g").agg(F.min("bin").alias("limit"))
-        near = placed.join(F.broadcast(limits) if n_groups <= BROADCAST_GROUPS else limits, ["g"]).where("bin <= limit")
-        estimates = _estimate(near)
+        limits = bins.where(F.col("up") >= F.col("all") * SHARE).groupBy(*keys).agg(F.min("bin").alias("limit"))
+        near = placed.join(F.broadcast(limits) if n_starts <= BROADCAST_GROUPS else limits, keys).where("bin <= limit")
+        step = _estimate(near, keys, CORRECTION)
+        new = F.struct(*[c for c in step.columns if c not in keys])
+        both = state.join(step.select(*keys, new.alias("new")), keys, "left")
+        lower = F.coalesce(F.col("new.det") < F.col("det") - CONVERGED, F.lit(False))
+        state = checkpoint(both.select(*keys, *[F.when(lower, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in step.columns if c not in keys], lower.alias("moving")))
+    values = F.struct(*[c for c in state.columns if c not in ("g", "moving")])
+    least = state.groupBy("g").agg(F.min_by(values, F.struct("det", "start")).alias("v")).select("g", "v.*").drop("det", "start")
+    near = _with_distance(vectors, least, ["g"], n_groups).where(F.col("d2") <= NEAR)
+    estimates = _estimate(near, ["g"], NEAR_CORRECTION).drop("det")
     estimates = checkpoint(pairs.join(estimates, "g").drop("g"))
     return estimates, estimates.count()
 

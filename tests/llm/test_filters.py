@@ -96,6 +96,19 @@ def test_quality_small_groups(spark):
     assert keep_good(docs.where("doc_id >= 500 AND doc_id < 1102")).count() > 0
 
 
+def test_quality_many_outliers(spark):
+    """Groups with 10 to 45 % junk in one table, a source for each share."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for share in (10, 20, 24, 30, 35, 40, 45):
+        for i in range(200):
+            junk = i < 2 * share
+            rows.append((1000 * share + i, " ".join(word() + "###" * junk for _ in range(rng.randint(30, 100))), "en", f"s{share}", junk))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    assert {r["doc_id"] for r in quality(docs).where("kept").collect()} == {r[0] for r in rows if not r[4]}
+
+
 def test_urls(spark, no_docs):
     urls = ["http://example.org/en/1", "https://A.Example.ORG/en/12?x=1", "http://example.org/es/a/b", "x://notexample.org/es/", "http://b.com/fr/x", "http://b.com/de/", "http://com/de/", "HTTP://b.com", "b.com/de/", None, "", "a://", "://org/", "http://org#f", "http://a.b.c.org?q", "http://example.org/es", "http://.org/", "ftp://u.example.org/en/1://z"]
     rows = [(i % 15, u, 1) for i, u in enumerate(urls + urls[:3])]
