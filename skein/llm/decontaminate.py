@@ -39,32 +39,36 @@ class _Group:
         self.known_weight = np.array([self.weight[int(g)] for g in self.known])
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.known >> _U(44)).astype(np.int64)] = True
-        self.sizes: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
-        by_size: dict[int, list] = {}
+        self.sizes: list[tuple[int, float, float, list, np.ndarray, np.ndarray]] = []
+        by_size: dict[tuple[int, int], list] = {}
         least = math.inf
         for item_id, grams in items:
             tf = Counter(grams.tolist())
             total = sum(n * self.weight[g] for g, n in tf.items())
             least = min(least, total)
-            by_size.setdefault(len(grams), []).append((item_id, tf, total, self.fingerprints(grams, len(grams))[0]))
+            # Items of a size are told apart by their mean weight, in half octaves: it is what an unknown shingle weighs beside them.
+            by_size.setdefault((len(grams), round(2 * math.log2(total / len(grams)))), []).append((item_id, tf, total, grams))
         near = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= radius // BLOCKS
-        for size, members in by_size.items():
-            prints = np.array([m[3] for m in members], np.uint8)
+        for (size, _), members in by_size.items():
+            most = max(self.weight[g] for m in members for g in m[1])
+            typical = min(m[2] for m in members) / size
+            prints = np.array([self.fingerprints(m[3], size, most, typical)[0] for m in members], np.uint8)
             # For each block and each of its 256 values: the items within the block's radius.
-            self.sizes[size] = (members, prints, np.stack([near[:, prints[:, b]] for b in range(BLOCKS)]))
-        self.longest = max(by_size)
+            self.sizes.append((size, most, typical, members, prints, np.stack([near[:, prints[:, b]] for b in range(BLOCKS)])))
+        self.longest = max(size for size, _ in by_size)
         #: A window alike enough to some item has at least so many shingles of the benchmark.
         self.hits = max(1, math.ceil(similarity * least / self.most - 1e-9))
 
-    def weights(self, grams: np.ndarray) -> np.ndarray:
+    def weights(self, grams: np.ndarray, most: float, typical: float) -> np.ndarray:
+        """Weights of shingles; ``typical`` for unknown ones and for those above ``most``, which none of the items sought has."""
         at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        return np.where(self.known[at] == grams, self.known_weight[at], self.most)
+        return np.where((self.known[at] == grams) & (self.known_weight[at] <= most), self.known_weight[at], typical)
 
-    def fingerprints(self, grams: np.ndarray, size: int) -> np.ndarray:
+    def fingerprints(self, grams: np.ndarray, size: int, most: float, typical: float) -> np.ndarray:
         """The 8 bytes of the weighted SimHash of each run of ``size`` shingles."""
         signs = ((mix(grams)[:, None] >> _BITS) & _U(1)).astype(np.float64) * 2 - 1
         sums = np.zeros((len(grams) + 1, 64))
-        np.cumsum(np.round(signs * self.weights(grams)[:, None] * 1024), axis=0, out=sums[1:])
+        np.cumsum(np.round(signs * self.weights(grams, most, typical)[:, None] * 1024), axis=0, out=sums[1:])
         return np.packbits(sums[size:] - sums[: len(sums) - size] > 0, axis=1)
 
     def candidates(self, grams: np.ndarray) -> np.ndarray:
@@ -84,9 +88,9 @@ class _Group:
         best: dict[int, tuple] = {}
         for low, high in regions:
             part = grams[low:high]
-            for size, (members, prints, index) in self.sizes.items():
+            for kind, (size, most, typical, members, prints, index) in enumerate(self.sizes):
                 span = min(size, len(part))
-                windows = self.fingerprints(part, span)
+                windows = self.fingerprints(part, span, most, typical)
                 close = index[0, windows[:, 0]]
                 for b in range(1, BLOCKS):
                     close = close | index[b, windows[:, b]]
@@ -96,7 +100,7 @@ class _Group:
                     item_id, tf, total, _ = members[i]
                     own = Counter(part[w : w + span].tolist())
                     alike = sum(self.weight[g] * min(n, own[g]) for g, n in tf.items() if g in own) / total
-                    key = (size, i)
+                    key = (kind, i)
                     if alike >= similarity - 1e-9 and (key not in best or alike > best[key][3] + 1e-12):
                         best[key] = (item_id, low + w, span, alike)
         yield from best.values()
