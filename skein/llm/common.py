@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +19,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 _U = np.uint64
-_IS_SPACE = np.zeros(256, dtype=bool)
-#: For word_spans: bytes that end a word; the second table ends it at all ASCII but letters and digits.
-_IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-NOT_ALNUM = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: For word_rows: what str.split() leaves between words; the second table makes a space of all ASCII but letters and digits.
+NOT_ALNUM = bytes(0x20 if b < 0x80 and not chr(b).isalnum() else b for b in range(256))
+#: Words whose hashes a worker keeps, each of no more than this many bytes.
+MEMO, MEMO_BYTES = 400_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame, small: bool = False) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that all executors share.
 
-    ``spark.checkpoint.dir`` is honoured; a folder is set here only when neither the setting nor the
-    context has one, which is the case in local tests alone. A table that is small beside its number of
+    ``spark.checkpoint.dir`` is honoured. Only a local session, whose executors are threads of the driver,
+    gets a folder of its own where it is unset; on a cluster that is an error. A table that is small beside its number of
     partitions is written by four tasks a core at most, each taking partitions in turn, so that it isn't
     scattered over very many files.
     """
@@ -40,7 +41,12 @@ def checkpoint(df: DataFrame, small: bool = False) -> DataFrame:
     if small:
         df = df.coalesce(4 * context.defaultParallelism)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/skein-checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "skein-checkpoints")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -67,23 +73,24 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         low = high
 
 
-def lower_bytes(data: np.ndarray) -> np.ndarray:
-    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+def word_rows(data: np.ndarray, offsets: np.ndarray, breaks: bytes | None = None, lower: bool = False) -> tuple[list[bytes], np.ndarray]:
+    """(words, first): the words of all rows in order; row r has words first[r] to first[r + 1] - 1.
 
-
-def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte spans of all words; row r has words first[r] to first[r + 1] - 1."""
-    n = len(data)
-    if n == 0:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(len(offsets), np.int64)
-    space = breaks[data]
-    before, after = np.ones(n, bool), np.ones(n, bool)
-    before[1:], after[:-1] = space[:-1], space[1:]
-    before[offsets[:-1][offsets[:-1] < n]] = True
-    after[offsets[1:][offsets[1:] > 0] - 1] = True
-    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    Words are what SPACES leave (the very bytes at which bytes.split() breaks), after ``breaks`` is applied.
+    """
+    raw = data.tobytes()
+    if lower:
+        raw = raw.lower()  # of bytes: A-Z alone
+    if breaks:
+        raw = raw.translate(breaks)
+    words: list[bytes] = []
+    first = [0]
+    low = int(offsets[0])
+    for high in offsets[1:].tolist():
+        words += raw[low:high].split()
+        first.append(len(words))
+        low = high
+    return words, np.array(first, np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,28 +103,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_table(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(seed)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        base, inverse = _BASES[seed], pow(_BASES[seed], -1, 1 << 64)
-        up, down = np.full(size, base, _U), np.full(size, inverse, _U)
-        up[0] = down[0] = 1
-        have = (np.cumprod(up), np.cumprod(down))
-        if size <= 1 << 22:  # tables for one huge text are not kept
-            _powers[seed] = have
-    return have
+class _WordHashes(dict):
+    """BLAKE2b of words, 64 bits each; short words are remembered, up to a bound."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
+        return h
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of every word's bytes, from prefix sums of a polynomial."""
-    n = len(data)
-    if len(starts) == 0:
-        return np.zeros(0, _U)
-    up, down = _power_table(seed, n + 1)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+
+_hashes = _WordHashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of every word's bytes."""
+    return np.fromiter(map(_hashes.__getitem__, words), _U, len(words))
 
 
 def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,16 +150,14 @@ def valid_starts(first: np.ndarray, n: int, count: int) -> np.ndarray:
     return np.arange(count) + n <= end
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
+def shingle_sets(hashes: np.ndarray, first: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of each row's n-word shingles; of all its words where they are fewer; empty without words."""
-    starts, ends, first = word_spans(data, offsets)
-    hashes = word_hashes(data, starts, ends)
     grams = gram_hashes(hashes, n)
     short = {k: gram_hashes(hashes, k) for k in range(1, n)}
-    for r in range(len(offsets) - 1):
-        low, count = int(first[r]), int(first[r + 1] - first[r])
+    for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        count = high - low
         if count >= n:
-            yield np.unique(grams[low : low + count - n + 1])
+            yield np.unique(grams[low : high - n + 1])
         elif count:
             yield mix(short[count][low : low + 1] ^ _U(count))
         else:

@@ -1,7 +1,8 @@
-"""Operator 2, n-gram Jaccard join: rare-prefix, size-banded tiles with bitmap bounds, then exact intersection of sorted arrays."""
+"""Operator 2, n-gram Jaccard join: rare-prefix, size-banded tiles with place and bitmap bounds, then exact intersection."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,22 +11,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import sketch
-from skein.llm.common import checkpoint, lower_bytes, mix, shingle_sets, table, text_chunks
+from skein.llm.common import checkpoint, mix, shingle_sets, table, text_chunks, word_hashes, word_rows
 
 _U = np.uint64
 #: Longs of a set's bitmap signature.
 LANES = 8
-#: Bits of the two sketches over all shingles: counts for the rarity order, and "in two sets or more" flags, 64 MB at most.
-COUNT_BITS, MAX_FLAG_BITS = 21, 29
+#: Most bits of the flags "in two sets or more" over all shingles, 64 MB.
+MAX_FLAG_BITS = 29
 #: Sets of a tile that are compared in one task with as many others.
 BLOCK = 256
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of each text, A-Z lower-cased."""
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, list[bytes], np.ndarray, list[np.ndarray]]]:
+    """(first row, words, first, sets) of each chunk of texts, A-Z lower-cased: sorted distinct shingle hashes of each row."""
     for low, _, data, offsets in text_chunks(batch.column("text")):
-        for r, grams in enumerate(shingle_sets(lower_bytes(data), offsets, n)):
-            yield low + r, grams
+        words, first = word_rows(data, offsets, lower=True)
+        yield low, words, first, list(shingle_sets(word_hashes(words), first, n))
+
+
+def _shingles(text: str, n: int) -> set[bytes]:
+    """The shingles of one text themselves, their words joined by a space."""
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
 def _least_overlap(size: int, num: int, den: int) -> int:
@@ -33,18 +40,6 @@ def _least_overlap(size: int, num: int, den: int) -> int:
     return -(-size * num // den)
 
 
-def _prefix(grams: np.ndarray, counts: np.ndarray, repeated: np.ndarray, floor: float, num: int, den: int) -> np.ndarray:
-    """Of the rarest shingles of a set, so many that linked sets have one in common, those that may stand in other sets too.
-
-    The order is the same for every set: shingles that stand in one set only, then by the octave of the
-    estimated count above the sketch's noise, then by hash.
-    """
-    again = sketch.flagged(repeated, grams)
-    octave = np.floor(np.log2(np.maximum(1.0, sketch.estimates(counts, grams) / floor))).astype(np.int64) + 1
-    order = np.lexsort((grams, np.where(again, octave, 0)))[: len(grams) - _least_overlap(len(grams), num, den) + 1]
-    return grams[order[again[order]]]
-
-
 def _lanes(grams: np.ndarray) -> list[int]:
     bits = np.zeros(64 * LANES, np.uint8)
     bits[(mix(grams) >> _U(64 - 9)).astype(np.int64)] = 1
@@ -52,40 +47,62 @@ def _lanes(grams: np.ndarray) -> list[int]:
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, size, key1, key2, prefix, lanes): of each text its set's size, a 128-bit key, the shingles of its
-    prefix, and its bitmap. Flags and counts are never too low, so no shared shingle is taken for a single one."""
+    """(doc_id, size, key1, key2, tokens, lanes): of each text its set's size, a 128-bit digest of its words, those of
+    its shingles that may stand in other sets, and its bitmap.
+
+    A set of which so many shingles stand nowhere else that it can't link has no tokens. Flags are never
+    too low, so no shared shingle is taken for a single one.
+    """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, grams in _sets(batch, n):
-            yield grams
+        for *_, sets in _sets(batch, n):
+            yield from sets
 
-    counts = sketch.build(docs.select("text"), shingles, 1, COUNT_BITS, (1 << 32) - 1, partitions)
-    total = float(counts.sum(dtype=np.float64))
-    floor = 4 * total / counts.shape[1] + 16
-    bits = sketch.bits_for(total, 2, 16, MAX_FLAG_BITS)
-    repeated = sketch.build(docs.select("text"), shingles, 1, bits, 2, partitions)
-    shared = spark.sparkContext.broadcast((counts, repeated))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = sketch.bits_for(n_bytes / 4, 4, 16, MAX_FLAG_BITS)
+    shared = spark.sparkContext.broadcast(sketch.build(docs.select("text"), shingles, 1, bits, 2, partitions))
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("tokens", pa.list_(pa.int64())), ("lanes", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("lanes", pa.list_(pa.int64()))])
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            out: list[dict] = []
-            for row, grams in _sets(batch, n):
-                prefix = np.zeros(0, _U)
-                if len(grams):
-                    prefix = _prefix(grams, *shared.value, floor, num, den)
-                key1, key2 = mix(grams).sum(dtype=_U), mix(grams ^ _U(0xA0761D6478BD642F)).sum(dtype=_U)
-                out.append({"doc_id": ids[row], "size": len(grams), "key1": int(key1.view(np.int64)), "key2": int(key2.view(np.int64)), "prefix": prefix.view(np.int64).tolist(), "lanes": _lanes(grams)})
-                if len(out) == 1000:
+            for low, words, first, sets in _sets(batch, n):
+                again = sketch.flagged(shared.value, np.concatenate(sets))
+                out, at = [], 0
+                for r, grams in enumerate(sets):
+                    flags = again[at : at + len(grams)]
+                    at += len(grams)
+                    tokens = grams[flags] if len(grams) - int(flags.sum()) <= len(grams) - _least_overlap(len(grams), num, den) else grams[:0]
+                    key = hashlib.blake2b(b" ".join(words[first[r] : first[r + 1]]), digest_size=16).digest()
+                    key1, key2 = np.frombuffer(key, np.int64).tolist()
+                    out.append({"doc_id": ids[low + r], "size": len(grams), "key1": key1, "key2": key2, "tokens": tokens.view(np.int64).tolist(), "lanes": _lanes(grams) if len(tokens) else None})
+                    if len(out) == 1000:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out = []
+                if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
 
-    return docs.mapInArrow(sign, "doc_id long, size long, key1 long, key2 long, prefix array<long>, lanes array<long>")
+    return docs.mapInArrow(sign, "doc_id long, size long, key1 long, key2 long, tokens array<long>, lanes array<long>")
+
+
+def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sets with tokens replaced by prefix, structs (token, pos): of a set's rarest shingles, so many that linked sets
+    have one in common, those that other sets have; pos is a shingle's place in the order of rarity.
+
+    The order is the same for every set: exact number of the sets that have the shingle, then its hash. A
+    count of one is not told apart from other single shingles: those come first and take places only.
+    """
+    key = ["doc_id", "key1", "key2"]
+    tokens = sets.select(*key, "size", F.explode("tokens").alias("token"))
+    counts = checkpoint(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"))  # a plain input: the join can deal out anew what a hot shingle has
+    ranked = tokens.join(counts, "token").groupBy(*key).agg(F.any_value("size").alias("size"), F.array_sort(F.collect_list(F.struct("times", "token"))).alias("order"))  # of one text
+    single = F.col("size") - F.size("order")
+    places = F.col("size") - F.ceil(F.col("size") * num / den) + 1
+    taken = F.slice("order", F.lit(1), F.greatest(F.lit(0), places - single).cast("int"))
+    prefix = ranked.select(*key, F.transform(taken, lambda x, i: F.struct(x["token"].alias("token"), (single + i).alias("pos"))).alias("prefix")).where(F.size("prefix") > 0)
+    return sets.drop("tokens").join(prefix, key)
 
 
 def _bound(size_a: Column, size_b: Column, lanes_a: list[Column], lanes_b: list[Column], num: int, den: int) -> Column:
@@ -152,11 +169,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
     """
 
     def bitmaps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows, out = [], []
-        for row, grams in _sets(batch, n):
-            rows.append(row)
-            out.append(len(grams).to_bytes(8, "little") + _wide(grams))
-        yield pa.record_batch({"id": batch.column("doc_id").take(pa.array(rows)), "value": pa.array(out, pa.binary())})
+        out = [len(grams).to_bytes(8, "little") + _wide(grams) for *_, sets in _sets(batch, n) for grams in sets]
+        yield pa.record_batch({"id": batch.column("doc_id"), "value": pa.array(out, pa.binary())})
 
     def may_link(left: pa.Array, right: pa.Array) -> list[bool]:
         out = []
@@ -171,16 +185,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
 
     def link(left: pa.Array, right: pa.Array) -> list[bool]:
         out = []
-        held: tuple[str | None, np.ndarray] = (None, np.zeros(0, _U))  # pairs come in runs of one document
+        held: tuple[str | None, np.ndarray, set[bytes]] = (None, np.zeros(0, _U), set())  # pairs come in runs of one document
         for x, y in zip(left, right, strict=True):
             x, y = x.as_py(), y.as_py()
             if x != held[0]:
-                held = x, next(g for _, g in _sets(pa.record_batch({"text": pa.array([x])}), n))
-            a, b = held[1], next(g for _, g in _sets(pa.record_batch({"text": pa.array([y])}), n))
+                held = x, _array(x), _shingles(x, n)
+            a, b = held[1], _array(y)
             shared = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(den * shared >= num * (len(a) + len(b) - shared))
+            alike = den * shared >= num * (len(a) + len(b) - shared)
+            if alike:  # by hashes; now by the words themselves
+                shared = len(held[2] & _shingles(y, n))
+                alike = den * shared >= num * (len(a) + len(b) - shared)
+            out.append(alike)
         return out
 
+    def _array(text: str) -> np.ndarray:
+        return next(sets[0] for *_, sets in _sets(pa.record_batch({"text": pa.array([text])}), n))
+
     close = checkpoint(_of_pairs(pairs, docs, bitmaps, "binary", may_link), small=True)
     return _of_pairs(close, docs, texts, "string", link)
 
@@ -189,10 +210,9 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id that each id of the links (a, b) reaches, by alternating star contractions.
 
     A step joins each node to the least of its neighbours; stars are never gathered in a row, so a node with
-    very many links costs partial aggregates only. Ends when a round changes no edge.
+    very many links costs partial aggregates only. Ends when a round leaves the very same edges.
     """
     edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), small=True)
-    last = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -201,11 +221,15 @@ def components(links: DataFrame) -> DataFrame:
         # Then smaller neighbours and the node itself do.
         small_least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(small_least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u").union(small_least.select("v", F.col("m").alias("u")))
-        edges = checkpoint(small.distinct(), small=True)
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state == last:
+        last, edges = edges, checkpoint(small.distinct(), small=True)
+        if edges.count() == last.count() and edges.join(last, ["v", "u"], "left_anti").isEmpty():
             return edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
-        last = state
+
+
+def _reachable(size_a: Column, size_b: Column, pos_a: Column, pos_b: Column, num: int, den: int) -> Column:
+    """Whether two sets can still link if the shingle at these places is the first that they share: what comes after it bounds the rest."""
+    most = 1 + F.least(size_a - pos_a - 1, size_b - pos_b - 1)
+    return (num + den) * most >= num * (size_a + size_b)
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -214,30 +238,37 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     Two texts link if their sets of distinct n-word shingles, A-Z lower-cased, have den * intersection >= num *
     union; component_id is the least doc_id reachable by links. No link between different texts is missed:
 
-    1. Equal sets are one set, held by the least doc_id that has it.
-    2. Linked sets share one of their rarest shingles (prefix filter). All sets with a shingle in their
-       prefix are a tile. Each is compared with the tile's least set, which gives as many pairs as rows.
+    1. Texts of the same words are one set, held by the least doc_id that has it.
+    2. Linked sets share one of their rarest shingles, in an order by exact counts (prefix filter). All sets
+       with a shingle in their prefix are a tile. Each is compared with the tile's least set, which gives as
+       many pairs as rows.
     3. Components of these links. In a tile that still has several, sets of different components are
        compared in blocks, if their size bands are equal or adjacent.
-    4. Pairs pass the bitmap bound before their arrays are intersected.
+    4. A pair is made only where the places of the tile's shingle in both orders leave enough shingles to
+       link (the first one that linked sets share does), and goes on only if it passes the bitmap bound.
+    5. The shingles' words are then compared, not their hashes.
 
     A null text, or one without words, has no shingles and is alone. A row with null doc_id has null
-    component_id. Rows that share a doc_id are one node: they must hold one text, else their sets count as
-    separate and each row gets the least component of the id. Other columns are ignored.
+    component_id. Rows that share a doc_id are one node, which links with all that its texts link with. Other
+    columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = checkpoint(_signatures(docs, n, num, den))
     rows = all_rows.where("doc_id IS NOT NULL AND size > 0")
-    holders = rows.groupBy("key1", "key2", "size").agg(F.min("doc_id").alias("rep"))
+    holders = rows.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
+    several = rows.groupBy("doc_id").agg(F.min(F.struct("key1", "key2")).alias("k0"), F.max(F.struct("key1", "key2")).alias("k1")).where("k0 <> k1").select("doc_id")
+    same_id = rows.select("doc_id", "key1", "key2").join(several, "doc_id").join(holders, ["key1", "key2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
     # One row for each set; a doc_id with several texts brings several.
-    sets = rows.join(holders.select(F.col("rep").alias("doc_id"), "key1", "key2"), ["doc_id", "key1", "key2"]).dropDuplicates(["doc_id", "key1", "key2"])
-    sets = sets.select("doc_id", "size", band.alias("band"), "prefix", *[F.col("lanes")[i].alias(f"l{i}") for i in range(LANES)])
+    least = rows.where("size(tokens) > 0").groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "size", "lanes", "tokens")).alias("s"))
+    sets = _prefixes(checkpoint(least.select("key1", "key2", "s.*"), small=True), num, den)
+    sets = checkpoint(sets.select("doc_id", "size", band.alias("band"), "prefix", *[F.col("lanes")[i].alias(f"l{i}") for i in range(LANES)]), small=True)
     lanes = [f"l{i}" for i in range(LANES)]
-    tokens = sets.select("doc_id", F.explode("prefix").alias("token"))
-    tiles = tokens.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).where("a < most").select("token", "a")
+    tokens = sets.select("doc_id", "size", F.explode("prefix").alias("p")).select("doc_id", "size", "p.token", "p.pos")
+    tiles = tokens.groupBy("token").agg(F.min(F.struct("doc_id", "size", "pos")).alias("first"), F.max("doc_id").alias("most")).where("first.doc_id < most").select("token", "first")
     tiles = checkpoint(tiles, small=True)  # a plain input of the join, which can then deal out anew what belongs to a very common shingle
-    stars = tokens.withColumnRenamed("doc_id", "b").join(tiles, "token").where("a < b").select("a", "b").distinct()
+    met = tokens.withColumnRenamed("doc_id", "b").join(tiles, "token").where((F.col("first.doc_id") < F.col("b")) & _reachable(F.col("first.size"), F.col("size"), F.col("first.pos"), F.col("pos"), num, den))
+    stars = met.select(F.col("first.doc_id").alias("a"), "b").distinct()
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("doc_id").alias(name), F.col("size").alias(f"size_{name}"), *[F.col(x).alias(f"{x}_{name}") for x in lanes])
@@ -247,28 +278,30 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
 
     possible = _bound(F.col("size_a"), F.col("size_b"), lane("a"), lane("b"), num, den)
     pairs = checkpoint(stars.join(side("b"), "b").join(side("a"), "a").where(possible).select("a", "b"), small=True)
-    first = checkpoint(_verified(pairs, docs, n, num, den), small=True)
+    first = checkpoint(_verified(pairs, docs, n, num, den).union(same_id), small=True)
     so_far = components(first)
     # Tiles whose sets are not yet of one component.
-    known = sets.select("doc_id", "size", "band", "prefix", *lanes).join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    members = known.select("doc_id", "component", "size", "band", *lanes, F.explode("prefix").alias("token"))
-    slim = known.select("component", F.explode("prefix").alias("token"))
+    known = sets.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    members = known.select("doc_id", "component", "size", "band", *lanes, F.explode("prefix").alias("p")).select("*", "p.token", "p.pos").drop("p")
+    slim = known.select("component", F.explode("prefix.token").alias("token"))
     open_ = slim.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     members = members.join(checkpoint(open_, small=True), "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A set meets each block of its tile once: the pair of blocks (i, j), i <= j, is a key of its own.
     cut = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    left = cut.select("token", "i", "j", F.col("block").alias("block_a"), F.col("band").alias("band_a"), F.col("component").alias("c_a"), F.col("doc_id").alias("a"), F.col("size").alias("size_a"), *[F.col(x).alias(f"{x}_a") for x in lanes])
-    right = cut.select("token", "i", "j", F.col("block").alias("block_b"), F.col("band").alias("band_b"), F.col("component").alias("c_b"), F.col("doc_id").alias("b"), F.col("size").alias("size_b"), *[F.col(x).alias(f"{x}_b") for x in lanes])
-    crossed = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.abs(F.col("band_a") - F.col("band_b")) <= 1)
-    met = (F.col("block_a") + F.col("block_b")) == (F.col("i") + F.col("j"))
-    more = left.join(right, ["token", "i", "j"]).where(crossed & met & possible).select("a", "b").distinct()
+    own = ["block", "band", "component", "size", "pos", *lanes]
+    left = cut.select("token", "i", "j", F.col("doc_id").alias("a"), *[F.col(x).alias(f"{x}_a") for x in own])
+    right = cut.select("token", "i", "j", F.col("doc_id").alias("b"), *[F.col(x).alias(f"{x}_b") for x in own])
+    crossed = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (F.abs(F.col("band_a") - F.col("band_b")) <= 1)
+    crossed &= _reachable(F.col("size_a"), F.col("size_b"), F.col("pos_a"), F.col("pos_b"), num, den)
+    blocks_met = (F.col("block_a") + F.col("block_b")) == (F.col("i") + F.col("j"))
+    more = left.join(right, ["token", "i", "j"]).where(crossed & blocks_met & possible).select("a", "b").distinct()
     second = _verified(checkpoint(more, small=True), docs, n, num, den)
     reached = components(first.union(second))
-    named = holders.join(reached.withColumnRenamed("id", "rep"), "rep", "left").select("key1", "key2", "size", F.coalesce("component", "rep").alias("component"))
-    placed = all_rows.select("doc_id", "size", "key1", "key2").join(named, ["key1", "key2", "size"], "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return placed.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))
+    named = holders.join(reached.withColumnRenamed("id", "rep"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
+    placed = all_rows.select("doc_id", "size", "key1", "key2").join(named, ["key1", "key2"], "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("size") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
+    return placed.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import sketch
-from skein.llm.common import checkpoint, gram_hashes, table, text_chunks, valid_starts, word_hashes, word_spans
+from skein.llm.common import checkpoint, gram_hashes, table, text_chunks, valid_starts, word_hashes, word_rows
 
 _U = np.uint64
 #: Words in the shorter runs of which each window's least hash is its anchor.
@@ -35,15 +37,23 @@ def _anchors(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def _windows(batch: pa.RecordBatch, window: int) -> Iterator[tuple]:
-    """(first row, first, valid, anchors, hashes, second hashes) of each chunk of texts."""
+def _windows(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """(first row, first, valid, anchors, words) of each chunk of texts."""
     for low, _, data, offsets in text_chunks(batch.column("text")):
-        starts, ends, first = word_spans(data, offsets)
-        if len(starts) < window:
+        words, first = word_rows(data, offsets)
+        if len(words) < window:
             continue
-        one = word_hashes(data, starts, ends, 0)
-        anchors = _anchors(one, window)
-        yield low, first, valid_starts(first, window, len(anchors)), anchors, one, (data, starts, ends)
+        anchors = _anchors(word_hashes(words), window)
+        yield low, first, valid_starts(first, window, len(anchors)), anchors, words
+
+
+def _digests(words: list[bytes], at: np.ndarray, window: int) -> np.ndarray:
+    """BLAKE2b, 128 bits in two longs, of the words of each window, joined by one space."""
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begins = np.r_[0, ends[:-1]]
+    digests = [hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(begins[at].tolist(), (ends[at + window - 1] - 1).tolist(), strict=True)]
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
 def _left(docs: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
@@ -72,7 +82,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, max_bits: int = MAX_BITS
        counted under its anchor, a part that is the same wherever the window occurs, so the estimate of
        its count is never too low; a run of windows that share an anchor is counted once, and twice if
        the anchor's run comes up again. That takes about one item in 22 words.
-    2. Windows estimated to occur twice or more, and only these, are grouped exactly by a 96-bit hash.
+    2. Windows estimated to occur twice or more, and only these, are grouped exactly: by a 128-bit
+       cryptographic digest of their words, so that windows of different words do not meet.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL AND NOT copy").select("doc_id", "row", "text")
@@ -81,7 +92,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, max_bits: int = MAX_BITS
     bits = sketch.bits_for(n_bytes / 6 / 22, 16, 16, max_bits)
 
     def items(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, first, valid, anchors, _, _ in _windows(batch, window):
+        for _, first, valid, anchors, _ in _windows(batch, window):
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(anchors)]
             new = np.r_[True, (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])]
             yield anchors[valid & new]
@@ -91,18 +102,18 @@ def repeated_windows(docs: DataFrame, window: int = 50, max_bits: int = MAX_BITS
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("row").to_numpy(zero_copy_only=False)
-            for low, first, valid, anchors, one, (data, starts, ends) in _windows(batch, window):
+            for low, first, valid, anchors, words in _windows(batch, window):
                 at = np.flatnonzero(valid)
                 at = at[sketch.flagged(repeated.value, anchors[at])]
                 if not len(at):
                     continue
                 row = np.searchsorted(first, at, "right") - 1
-                hashes, more = gram_hashes(one, window), gram_hashes(word_hashes(data, starts, ends, 1), window)
                 for a in range(0, len(at), 1 << 18):
                     p, r = at[a : a + (1 << 18)], row[a : a + (1 << 18)]
-                    yield pa.record_batch({"h1": hashes[p].view(np.int64), "h2": (more[p] >> _U(32)).astype(np.uint32).view(np.int32), "doc_id": pa.array(ids[r + low], pa.int64()), "row": pa.array(keys[r + low], pa.int64()), "start": pa.array(p - first[r], pa.int32())})
+                    digests = _digests(words, p, window)
+                    yield pa.record_batch({"h1": digests[:, 0], "h2": digests[:, 1], "doc_id": pa.array(ids[r + low], pa.int64()), "row": pa.array(keys[r + low], pa.int64()), "start": pa.array(p - first[r], pa.int32())})
 
-    found = docs.mapInArrow(emit, "h1 long, h2 int, doc_id long, row long, start int")
+    found = docs.mapInArrow(emit, "h1 long, h2 long, doc_id long, row long, start int")
     groups = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
     # Written out, so that the join has it as a plain input: only then are windows that very many documents have dealt out anew.
     groups = checkpoint(groups)
@@ -125,23 +136,21 @@ def substring_dedup(docs: DataFrame, window: int = 50, max_bits: int = MAX_BITS)
         for batch in batches:
             lists, copies = batch.column("starts"), batch.column("copy").to_pylist()
             for low, high, data, offsets in text_chunks(batch.column("text")):
-                begins, ends, first = word_spans(data, offsets)
-                raw = data.tobytes()
+                words, first = word_rows(data, offsets)
                 n_words, n_removed, kept = [], [], []
                 for r in range(high - low):
-                    b, e = begins[first[r] : first[r + 1]], ends[first[r] : first[r + 1]]
-                    keep = np.ones(len(b), bool)
-                    if copies[low + r] and len(b) >= window:
-                        keep[:] = False
+                    own = words[first[r] : first[r + 1]]
+                    n_words.append(len(own))
+                    if copies[low + r] and len(own) >= window:
+                        own = []
                     elif lists[low + r].is_valid:
-                        edges = np.zeros(len(b) + 1, np.int64)
+                        edges = np.zeros(len(own) + 1, np.int64)
                         at = np.asarray(lists[low + r].values, np.int64)
                         np.add.at(edges, at, 1)
                         np.add.at(edges, at + window, -1)
-                        keep = np.cumsum(edges)[:-1] == 0
-                    n_words.append(len(b))
-                    n_removed.append(int(len(b) - keep.sum()))
-                    kept.append(b" ".join([raw[x:y] for x, y in zip(b[keep].tolist(), e[keep].tolist(), strict=True)]).decode())
+                        own = list(compress(own, (np.cumsum(edges)[:-1] == 0).tolist()))
+                    n_removed.append(n_words[-1] - len(own))
+                    kept.append(b" ".join(own).decode())
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(low, high - low), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from skein.llm.line_dedup import dedup_lines, with_chunks
-from skein.llm.ngram_join import keep_one, ngram_jaccard
+from skein.llm.ngram_join import components, keep_one, ngram_jaccard
 from skein.llm.substring_dedup import substring_dedup
 
 SPACES = "[\x20\x09-\x0d]+"
@@ -86,6 +86,25 @@ def test_keep_one(docs, corpus):
     assert keep_one(docs).columns == docs.columns
 
 
+def test_words_of_one_polynomial(spark):
+    """Two long words that a polynomial modulo a power of two takes for one are two words."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    filler = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*filler[:30], w, *filler[30:]])) for i, w in enumerate((a, b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup(docs).collect()} == {0: 0, 1: 0}
+    single = spark.createDataFrame([(0, a), (1, b), (2, a)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard(single).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_components(spark):
+    """A long path, a star with a great centre and a cycle, each with its least id."""
+    path, star, cycle = [(i, i + 1) for i in range(40)], [(500, 100 + i) for i in range(30)], [(700, 701), (701, 702), (702, 700), (5000, 5000)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(path + star + cycle, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(1, 41)) and all(got[i] == 100 for i in [*range(101, 130), 500]) and got[701] == got[702] == 700
+
+
 def chunks(text):
     lines, sums = text.split("\n"), [hashlib.md5(x.encode()).hexdigest() for x in text.split("\n")]
     out, low = [], 0
