@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import NOT_ALNUM, gram_hashes, lower_bytes, mix, table, text_chunks, word_hashes, word_spans
+from skein.llm import sketch
+from skein.llm.common import NOT_ALNUM, checkpoint, gram_hashes, mix, table, text_chunks, word_hashes, word_rows
 
 _U = np.uint64
 SHINGLE = 5
@@ -19,154 +20,243 @@ SIMILARITY = 0.8
 #: Fingerprints of windows with similarity 0.8 differ in 13 of 64 bits on average, in more than 22 for about one in 500;
 #: a passage has many windows.
 RADIUS = 22
-#: Bytes of a fingerprint are its blocks. Two within RADIUS are within RADIUS // BLOCKS in one of them.
+#: Bytes of a fingerprint are its blocks.
 BLOCKS = 8
-#: Words of items that one pass over the documents looks for; a larger benchmark takes more passes.
+#: Words of items that one pass over the documents looks for; a larger benchmark takes more passes, with the same results.
 ITEM_WORDS = 1_000_000
+#: Most cells of the sketch of the benchmark's shingle counts that weighs shingles in fingerprints, 16 MB.
+MAX_COUNT_BITS = 22
+MATCH = "doc_id long, item_id long, first_word long, n_words long, similarity double"
 _BITS = np.arange(64, dtype=_U)
 _POPCOUNT = np.array([bin(b).count("1") for b in range(256)])
+#: An item: item_id, hashes of its shingles in order, weight of each different one.
+Item = tuple[int | None, np.ndarray, dict[int, float]]
+
+
+def _grams(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, q, hashes of the q-word shingles in order) of each text with a word; q is SHINGLE or the number of its words."""
+    for low, _, data, offsets in text_chunks(batch.column("text")):
+        words, first = word_rows(data, offsets, NOT_ALNUM, lower=True)
+        hashes = word_hashes(words)
+        for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            if b > a:
+                q = min(SHINGLE, b - a)
+                yield low + r, q, gram_hashes(hashes[a:b], q)
+
+
+class _Blocks:
+    """Multi-index of fingerprints: for each block and each value of it, the items that are near enough in that block.
+
+    Of two fingerprints within ``radius`` bits, some block i differs in no more than t[i] bits, if the t[i] + 1
+    add up to radius + 1; so the buckets of a window's own block values hold all items within the radius.
+    """
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius, self.buckets = prints, radius, []
+        for b in range(BLOCKS):
+            bits = (radius + 1) // BLOCKS + (b < (radius + 1) % BLOCKS) - 1
+            near = _POPCOUNT[np.arange(256)[:, None] ^ prints[None, :, b]] <= bits
+            self.buckets.append((np.r_[0, np.cumsum(near.sum(axis=1))], np.nonzero(near)[1]))
+
+    def within(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all pairs within the radius, in order."""
+        found = []
+        for b, (bounds, members) in enumerate(self.buckets):
+            low = bounds[windows[:, b]]
+            count = bounds[windows[:, b] + np.int64(1)] - low
+            window = np.repeat(np.arange(len(windows)), count)
+            place = np.arange(len(window)) + np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count)
+            found.append(window * len(self.prints) + members[place])
+        window, item = np.divmod(np.unique(np.concatenate(found)), len(self.prints))
+        near = np.bitwise_count(windows[window] ^ self.prints[item]).sum(axis=1) <= self.radius
+        return window[near], item[near]
 
 
 class _Group:
-    """The items that have q-word shingles, by their number of shingles."""
-
-    def __init__(self, q: int, items: list[tuple[int | None, np.ndarray]], similarity: float, radius: int):
-        self.q = q
-        seen = Counter(g for _, grams in items for g in set(grams.tolist()))
-        self.weight = {g: math.log1p(len(items) / n) for g, n in seen.items()}
-        self.most = math.log1p(len(items))
-        self.known = np.sort(np.fromiter(self.weight, _U, len(self.weight)))
-        self.known_weight = np.array([self.weight[int(g)] for g in self.known])
+    """The items of one pass that have q-word shingles, in kinds: number of shingles, mean weight and greatest weight in half octaves.
+
+    A fingerprint depends on the kind and the whole benchmark's counts, not on what else the pass holds.
+    """
+
+    def __init__(self, q: int, items: list[Item], n_items: int, counts: np.ndarray, similarity: float, radius: int):
+        self.q, self.n_items, self.counts = q, n_items, counts
+        by_kind: dict[tuple[int, int, int], list[Item]] = {}
+        for item in items:
+            _, grams, weight = item
+            mean = sum(weight[g] for g in grams.tolist()) / len(grams)
+            by_kind.setdefault((len(grams), round(2 * math.log2(mean)), math.ceil(2 * math.log2(max(weight.values())) - 1e-9)), []).append(item)
+        self.kinds = []
+        places: dict[int, list[int]] = {}
+        for k, ((size, mean_class, most_class), members) in enumerate(sorted(by_kind.items(), key=lambda x: x[0])):
+            scale = (2 ** (mean_class / 2), 2 ** (most_class / 2))
+            prints = np.concatenate([self.windows(self.sums(m[1], *scale), size) for m in members])
+            tfs = [Counter(m[1].tolist()) for m in members]
+            totals = [sum(n * m[2][g] for g, n in tf.items()) for m, tf in zip(members, tfs, strict=True)]
+            heaviest = max(max(m[2].values()) for m in members)
+            needed = max(1, math.ceil(similarity * min(totals) / heaviest - 1e-9))
+            self.kinds.append((size, scale, members, tfs, totals, _Blocks(prints, radius), needed))
+            for g in {g for tf in tfs for g in tf}:
+                places.setdefault(g, []).append(k)
+        self.known = np.sort(np.fromiter(places, _U, len(places)))
+        of = [places[g] for g in self.known.tolist()]
+        self.kind_bounds = np.r_[0, np.cumsum([len(x) for x in of])]
+        self.kinds_of = np.array([k for x in of for k in x], np.int64)
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.known >> _U(44)).astype(np.int64)] = True
-        self.sizes: list[tuple[int, float, float, list, np.ndarray, np.ndarray]] = []
-        by_size: dict[tuple[int, int], list] = {}
-        least = math.inf
-        for item_id, grams in items:
-            tf = Counter(grams.tolist())
-            total = sum(n * self.weight[g] for g, n in tf.items())
-            least = min(least, total)
-            # Items of a size are told apart by their mean weight, in half octaves: it is what an unknown shingle weighs beside them.
-            by_size.setdefault((len(grams), round(2 * math.log2(total / len(grams)))), []).append((item_id, tf, total, grams))
-        near = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= radius // BLOCKS
-        for (size, _), members in by_size.items():
-            most = max(self.weight[g] for m in members for g in m[1])
-            typical = min(m[2] for m in members) / size
-            prints = np.array([self.fingerprints(m[3], size, most, typical)[0] for m in members], np.uint8)
-            # For each block and each of its 256 values: the items within the block's radius.
-            self.sizes.append((size, most, typical, members, prints, np.stack([near[:, prints[:, b]] for b in range(BLOCKS)])))
-        self.longest = max(size for size, _ in by_size)
-        #: A window alike enough to some item has at least so many shingles of the benchmark.
-        self.hits = max(1, math.ceil(similarity * least / self.most - 1e-9))
-
-    def weights(self, grams: np.ndarray, most: float, typical: float) -> np.ndarray:
-        """Weights of shingles; ``typical`` for unknown ones and for those above ``most``, which none of the items sought has."""
-        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        return np.where((self.known[at] == grams) & (self.known_weight[at] <= most), self.known_weight[at], typical)
-
-    def fingerprints(self, grams: np.ndarray, size: int, most: float, typical: float) -> np.ndarray:
-        """The 8 bytes of the weighted SimHash of each run of ``size`` shingles."""
+        self.longest = max(kind[0] for kind in self.kinds)
+        #: A window alike enough to some item has at least so many shingles of the pass.
+        self.needed = min(kind[6] for kind in self.kinds)
+
+    def sums(self, grams: np.ndarray, typical: float, most: float) -> np.ndarray:
+        """Running sums of the weighted signs. A shingle unknown to the benchmark, or heavier than any of the items sought, weighs what is typical of those."""
+        n = sketch.estimates(self.counts, grams ^ _U(self.q))
+        weights = np.log1p(self.n_items / np.maximum(n, 1))
+        weights = np.where((n > 0) & (weights <= most), weights, typical)
         signs = ((mix(grams)[:, None] >> _BITS) & _U(1)).astype(np.float64) * 2 - 1
-        sums = np.zeros((len(grams) + 1, 64))
-        np.cumsum(np.round(signs * self.weights(grams, most, typical)[:, None] * 1024), axis=0, out=sums[1:])
-        return np.packbits(sums[size:] - sums[: len(sums) - size] > 0, axis=1)
+        out = np.zeros((len(grams) + 1, 64))
+        np.cumsum(np.round(signs * weights[:, None] * 1024), axis=0, out=out[1:])
+        return out
+
+    @staticmethod
+    def windows(sums: np.ndarray, size: int) -> np.ndarray:
+        """The 8 bytes of the SimHash of each run of ``size`` shingles."""
+        return np.packbits(sums[size:] > sums[: len(sums) - size], axis=1)
 
-    def candidates(self, grams: np.ndarray) -> np.ndarray:
+    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, places in ``known``) of the shingles that some item of the pass has."""
         at = np.flatnonzero(self.gate[(grams >> _U(44)).astype(np.int64)])
-        found = np.searchsorted(self.known, grams[at])
-        return at[self.known[np.minimum(found, len(self.known) - 1)] == grams[at]]
+        found = np.minimum(np.searchsorted(self.known, grams[at]), len(self.known) - 1)
+        real = self.known[found] == grams[at]
+        return at[real], found[real]
 
-    def matches(self, grams: np.ndarray, hits: np.ndarray, similarity: float, radius: int) -> Iterator[tuple]:
+    def matches(self, grams: np.ndarray, hits: np.ndarray, known: np.ndarray, similarity: float) -> Iterator[tuple]:
         """(item_id, first shingle, shingles, similarity): the best window of each item found in one document."""
         # Only near shingles of the benchmark, and enough of them within an item's length, can a window be alike.
-        dense = hits[: len(hits) - self.hits + 1][hits[self.hits - 1 :] - hits[: len(hits) - self.hits + 1] < self.longest]
+        last = hits[self.needed - 1 :]
+        dense = hits[: len(last)][last - hits[: len(last)] < self.longest]
         regions: list[list[int]] = []
         for p in dense.tolist():
             if not regions or p - self.longest > regions[-1][1]:
                 regions.append([max(0, p - self.longest), 0])
             regions[-1][1] = min(len(grams), p + 2 * self.longest)
-        best: dict[int, tuple] = {}
+        best: dict[tuple[int, int], tuple] = {}
         for low, high in regions:
             part = grams[low:high]
-            for kind, (size, most, typical, members, prints, index) in enumerate(self.sizes):
+            inside = known[(hits >= low) & (hits < high)]
+            counts = self.kind_bounds[inside + 1] - self.kind_bounds[inside]
+            place = np.arange(counts.sum()) + np.repeat(self.kind_bounds[inside] - np.r_[0, np.cumsum(counts)[:-1]], counts)
+            of_kind = np.bincount(self.kinds_of[place], minlength=len(self.kinds))
+            held: dict[tuple[float, float], np.ndarray] = {}
+            for k in np.flatnonzero(of_kind).tolist():
+                size, scale, members, tfs, totals, blocks, needed = self.kinds[k]
+                if of_kind[k] < needed:
+                    continue
+                if scale not in held:
+                    held[scale] = self.sums(part, *scale)
                 span = min(size, len(part))
-                windows = self.fingerprints(part, span, most, typical)
-                close = index[0, windows[:, 0]]
-                for b in range(1, BLOCKS):
-                    close = close | index[b, windows[:, b]]
-                at, of = np.nonzero(close)
-                apart = np.bitwise_count(windows[at] ^ prints[of]).sum(axis=1)
-                for w, i in zip(at[apart <= radius].tolist(), of[apart <= radius].tolist(), strict=True):
-                    item_id, tf, total, _ = members[i]
+                for w, i in zip(*[x.tolist() for x in blocks.within(self.windows(held[scale], span))], strict=True):
+                    item_id, _, weight = members[i]
                     own = Counter(part[w : w + span].tolist())
-                    alike = sum(self.weight[g] * min(n, own[g]) for g, n in tf.items() if g in own) / total
-                    key = (kind, i)
-                    if alike >= similarity - 1e-9 and (key not in best or alike > best[key][3] + 1e-12):
-                        best[key] = (item_id, low + w, span, alike)
+                    alike = sum(weight[g] * min(n, own[g]) for g, n in tfs[i].items() if g in own) / totals[i]
+                    if alike >= similarity - 1e-9 and ((k, i) not in best or alike > best[k, i][3] + 1e-12):
+                        best[k, i] = (item_id, low + w, span, alike)
         yield from best.values()
 
 
 class Index:
-    """An index of some items' texts: one group for each shingle length, SHINGLE or all the words of a shorter item."""
-
-    def __init__(self, items: list[tuple[int | None, str]], similarity: float, radius: int):
-        self.similarity, self.radius = similarity, radius
-        by_q: dict[int, list] = {}
-        for item_id, text in items:
-            data = lower_bytes(np.frombuffer(text.encode(), np.uint8))
-            starts, ends, _ = word_spans(data, np.array([0, len(data)]), NOT_ALNUM)
-            if len(starts):
-                q = min(SHINGLE, len(starts))
-                by_q.setdefault(q, []).append((item_id, gram_hashes(word_hashes(data, starts, ends), q)))
-        self.groups = [_Group(q, own, similarity, radius) for q, own in sorted(by_q.items())]
+    """An index of some items: one group for each shingle length, SHINGLE or all the words of a shorter item."""
+
+    def __init__(self, items: list[tuple[int, Item]], n_items: dict[int, int], counts: np.ndarray, similarity: float, radius: int):
+        self.similarity = similarity
+        by_q: dict[int, list[Item]] = {}
+        for q, item in items:
+            by_q.setdefault(q, []).append(item)
+        self.groups = [_Group(q, own, n_items[q], counts, similarity, radius) for q, own in sorted(by_q.items())]
 
     def scan(self, column: pa.Array) -> Iterator[tuple]:
         """(row, item_id, first word, words, similarity) of every item found in a column of texts."""
         for low, _, data, offsets in text_chunks(column):
-            data = lower_bytes(data)
-            starts, ends, first = word_spans(data, offsets, NOT_ALNUM)
-            hashes = word_hashes(data, starts, ends)
+            words, first = word_rows(data, offsets, NOT_ALNUM, lower=True)
+            hashes = word_hashes(words)
             for group in self.groups:
                 grams = gram_hashes(hashes, group.q)
-                at = group.candidates(grams)
+                at, known = group.hits(grams)
                 row = np.searchsorted(first, at, "right") - 1
                 inside = at + group.q <= first[row + 1]
-                at, row = at[inside], row[inside]
-                for r in np.unique(row).tolist():
-                    hits = at[row == r] - first[r]
-                    if len(hits) >= group.hits:
-                        own = grams[first[r] : first[r + 1] - group.q + 1]
-                        for item_id, begin, size, alike in group.matches(own, hits, self.similarity, self.radius):
-                            yield low + r, item_id, begin, size + group.q - 1, alike
+                at, row, known = at[inside], row[inside], known[inside]
+                bounds = np.searchsorted(row, np.arange(len(first)))
+                for r in np.flatnonzero(np.diff(bounds) >= group.needed).tolist():
+                    a, b = bounds[r], bounds[r + 1]
+                    own = grams[first[r] : first[r + 1] - group.q + 1]
+                    for item_id, begin, size, alike in group.matches(own, at[a:b] - first[r], known[a:b], self.similarity):
+                        yield low + r, item_id, begin, size + group.q - 1, alike
+
+
+def _weighed(benchmark: DataFrame) -> tuple[DataFrame, dict[int, int], np.ndarray]:
+    """((item_id, q, grams, counts), items for each q, sketch): of the whole benchmark, how many items have each shingle.
+
+    ``counts`` has structs (gram, n) of an item's different shingles, from an exact grouping; the sketch holds the same
+    counts for documents' shingles in fingerprints. Rows of equal id and text are one item.
+    """
+    spark = benchmark.sparkSession
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(_grams(batch))
+            rows = pa.array([x[0] for x in found], pa.int64())
+            yield pa.record_batch({
+                "item_id": batch.column("item_id").take(rows), "digest": batch.column("digest").take(rows), "q": pa.array([x[1] for x in found], pa.int32()),
+                "grams": pa.array([x[2].view(np.int64) for x in found], pa.list_(pa.int64())),
+            })
+
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    items = checkpoint(own.withColumn("digest", F.sha2("text", 256)).mapInArrow(split, "item_id long, digest string, q int, grams array<long>"))
+    n_items = {r["q"]: r["n"] for r in items.groupBy("q").agg(F.count("*").alias("n")).collect()}  # at most SHINGLE rows
+    each = items.select("item_id", "digest", "q", F.explode(F.array_distinct("grams")).alias("gram"))
+    times = each.groupBy("q", "gram").agg(F.count("*").alias("n"))
+    counts = each.join(times, ["q", "gram"]).groupBy("item_id", "digest").agg(F.collect_list(F.struct("gram", "n")).alias("counts"))  # of one item
+    rows = items.withColumnRenamed("digest", "d").withColumnRenamed("item_id", "i").join(counts, F.col("i").eqNullSafe(F.col("item_id")) & (F.col("d") == F.col("digest")))
+
+    def tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for q, grams in zip(batch.column("q").to_pylist(), batch.column("grams"), strict=True):
+            yield np.unique(np.asarray(grams.values, np.int64).view(_U)) ^ _U(q)
+
+    n_grams = items.agg(F.sum(F.size("grams"))).first()[0] or 0
+    bits = sketch.bits_for(n_grams, 64, 10, MAX_COUNT_BITS)
+    cells = sketch.build(items.select("q", "grams"), tokens, 1, bits, (1 << 32) - 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select("item_id", "digest", "q", "grams", "counts"), n_items, cells
 
 
 def indexes(benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, item_words: int = ITEM_WORDS) -> Iterator[Index]:
     """The benchmark in blocks of about item_words words; the driver holds one block at a time."""
+    rows, n_items, cells = _weighed(benchmark)
     held, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL").orderBy("i", "t").toLocalIterator():
-        held.append((r["i"], r["t"]))
-        size += r["t"].count(" ") + 1
+    for r in rows.orderBy("item_id", "digest").toLocalIterator():
+        weight = {c["gram"] & (2**64 - 1): math.log1p(n_items[r["q"]] / c["n"]) for c in r["counts"]}
+        held.append((r["q"], (r["item_id"], np.array(r["grams"], np.int64).view(_U), weight)))
+        size += len(r["grams"]) + r["q"] - 1
         if size >= item_words:
-            yield Index(held, similarity, radius)
+            yield Index(held, n_items, cells, similarity, radius)
             held, size = [], 0
     if held:
-        yield Index(held, similarity, radius)
+        yield Index(held, n_items, cells, similarity, radius)
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, item_words: int = ITEM_WORDS) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity) for each document and item of which it has a passage.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. An item's similarity to a
     window of its own length is the share of its shingles' weight that the window has, repeats counted;
-    a shingle weighs ln(1 + items / items that have it), over the items of a pass. Windows lie at every
-    position from which enough shingles of the benchmark are in reach; elsewhere no window can be alike.
-    Their fingerprints meet those of items within ``radius`` bits, whatever the bits, and each candidate
-    is then measured exactly. A shorter document is one window. Items of fewer words than a shingle
-    match as a whole. Null and empty texts on either side match nothing; rows with equal doc_id or item_id
-    each count; other columns are ignored. Documents are read once for each block of items; no shuffle.
+    a shingle weighs ln(1 + items / items that have it), over the whole benchmark. Windows lie at every
+    position from which enough shingles of the items are in reach; elsewhere no window can be alike.
+    Their fingerprints meet those of items within ``radius`` bits, whatever the bits, through the buckets of
+    their blocks, and each candidate is then measured exactly. A shorter document is one window. Items of
+    fewer words than a shingle match as a whole. Null and empty texts on either side match nothing; rows with
+    equal doc_id each count, as do items of equal item_id but other text; other columns are ignored. Documents
+    are read once for each block of item_words words of items, without a shuffle; results do not depend on it.
     """
     out = None
-    for index in indexes(benchmark, similarity, radius):
+    for index in indexes(benchmark, similarity, radius, item_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -179,17 +269,17 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, similarity: float =
                 })
 
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        part = own.mapInArrow(find, "doc_id long, item_id long, first_word long, n_words long, similarity double")
+        part = own.mapInArrow(find, MATCH)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, first_word long, n_words long, similarity double")
+        out = docs.sparkSession.createDataFrame([], MATCH)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, item_words: int = ITEM_WORDS) -> DataFrame:
     """The rows of docs in which benchmark_matches() finds nothing, all columns kept; the verdict needs no other row, so nothing moves."""
     text = docs.schema.fieldNames().index("text")
-    for index in indexes(benchmark, similarity, radius):
+    for index in indexes(benchmark, similarity, radius, item_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
