@@ -8,10 +8,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skein.llm.decontaminate import SIMILARITY, _Blocks, benchmark_matches, drop_contaminated
-from skein.llm.licenses import BASE, scan_licenses
+from skein.llm.licenses import BASE, LEAST_SHARE, TEMPLATES, scan_licenses
+from skein.llm.line_dedup import dedup_lines
+from skein.llm.ngram_join import keep_one
 from skein.llm.quality import keep_good, quality
 from skein.llm.sharding import shard
 from skein.llm.url_filter import RULES, rules_frame, url_verdicts
@@ -22,6 +25,7 @@ def test_licenses(spark, docs, corpus, no_docs):
     pool = "under the mit license apache version 2 cc by nc all rights reserved gnu general public x y".split()
     texts = [rng.choice([" ", "-", ", "]).join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(300)]
     texts += ["Released under the MIT License.", "Apache License, Version 2.0", "CC BY-NC 4.0; CC-BY-NC", "This work is licensed under the GNU General Public License, version 3.", "MİT under the mit licenseé", None]
+    texts += ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute", "SPDX-License-Identifier: Apache-2.0 or SPDX-License-Identifier: BSD-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"]
     rows = list(enumerate(texts))
     got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows:
@@ -30,6 +34,23 @@ def test_licenses(spark, docs, corpus, no_docs):
         r, at = got[i], [k for k, _ in places]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(ws), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
         assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
+    # Labels, score and places by brute force: every place of a key phrase, every word of the notice around it.
+    split = {i: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] for i, t in rows}
+    idf = lambda w: math.log((1 + len(rows)) / (1 + sum(w in ws for ws in split.values()))) + 1
+    for i, ws in split.items():
+        want = Counter()
+        for label, notice, key in TEMPLATES:
+            own, k = notice.split(), key.split()
+            shift = next(j for j in range(len(own)) if own[j : j + len(k)] == k)
+            for s in range(len(ws) - len(k) + 1):
+                if ws[s : s + len(k)] == k:
+                    share = sum(idf(w) for j, w in enumerate(own) if 0 <= s - shift + j < len(ws) and ws[s - shift + j] == w) / sum(map(idf, own))
+                    if share >= LEAST_SHARE + 1e-6 or share >= LEAST_SHARE - 1e-6 and (label, s) in {(p["label"], p["start"]) for p in got[i]["places"]}:
+                        want[label, s, round(share, 4)] += 1
+        assert Counter((p["label"], p["start"], round(p["share"], 4)) for p in got[i]["places"]) == want
+        assert abs(got[i]["score"] - max((x for *_, x in want), default=0.0)) < 1e-3
+        assert got[i]["labels"] == ",".join(sorted({x for x, *_ in want} | set(filter(None, got[i]["base_labels"].split(",")))))
+    assert got[306]["labels"] == "mit" and got[307]["labels"] == "apache-2,bsd" and got[308]["labels"] == "gpl"
     assert got[300]["labels"] == "mit" and got[300]["score"] == 1.0 and got[303]["labels"] == "gpl"
     assert scan_licenses(docs).count() == len(corpus) and scan_licenses(no_docs).collect() == []
 
@@ -76,6 +97,19 @@ def test_quality(spark, docs, corpus, no_docs):
     assert Counter(r["doc_id"] for r in keep_good(docs).collect()) == Counter(r["doc_id"] for r in got if r["kept"])
 
 
+def test_clashing_columns(spark, docs):
+    """Columns with every name used inside the stages come back as they were."""
+    names = ["q_words", "q_text", "q_kept", "q_n", "q_lang", "q_failed", "own", "m0", "w00", "det", "d2", "e_n", "g", "k", "d_doc", "d_cuts", "d_lines", "d_key", "d_kept", "d_text", "text_key", "first_bytes", "a.b"]
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    same = Counter(tuple(r)[: len(docs.columns)] for r in keep_good(wide).collect())
+    assert same == Counter(map(tuple, keep_good(docs).collect())) and keep_good(wide).columns == wide.columns
+    out = dedup_lines(wide)
+    assert out.columns == [*wide.columns, "n_lines", "n_chunks", "n_removed_lines"]
+    assert all(list(tuple(r)[len(docs.columns) :][: len(names)]) == names for r in out.collect())
+    assert Counter(r["text"] for r in out.collect()) == Counter(r["text"] for r in dedup_lines(docs).collect())
+    assert keep_one(wide).columns == wide.columns
+
+
 def test_quality_outliers(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
