@@ -65,7 +65,9 @@ def dedup_lines(docs: DataFrame, roll: int = ROLL, spread: int = SPREAD) -> Data
     others = places.join(firsts.select("key", "first"), "key").where("struct(doc_id, text_key, k) <> struct(first.doc_id, first.text_key, first.k)")
     cuts = others.join(sources, "key").where(F.trim(F.regexp_replace("first_bytes", r"\s+", " ")) != "")
     cuts = cuts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("k", "start", "n", "first_bytes")).alias("d_cuts"))
-    full = docs.select(*own).withColumns({"text": F.col("text").cast("string"), "d_key": F.xxhash64(F.col("text").cast("string"))})
+    # The caller's other columns travel as one struct, so no name of theirs meets one used here.
+    text = F.col("text").cast("string")
+    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in own if c != "text"]).alias("own"), "doc_id", text.alias("text"), F.xxhash64(text).alias("d_key"))
     cuts = cuts.select(F.col("doc_id").alias("d_doc"), F.col("text_key").alias("d_text_key"), "d_cuts")
     joined = full.join(cuts, (F.col("doc_id") == F.col("d_doc")) & (F.col("d_key") == F.col("d_text_key")), "left")
     joined = with_chunks(joined, roll, spread)
@@ -83,7 +85,7 @@ def dedup_lines(docs: DataFrame, roll: int = ROLL, spread: int = SPREAD) -> Data
         "n_removed_lines": (F.size("d_lines") - n_kept).cast("long"),
         "d_text": F.when(F.size("d_gone") > 0, text).otherwise(F.col("text")),
     })
-    return out.select(*[F.col("d_text").alias("text") if c == "text" else F.col(c) for c in own], "n_lines", "n_chunks", "n_removed_lines")
+    return out.select(*[F.col("d_text").alias("text") if c == "text" else F.col("own").getField(c).alias(c) for c in own], "n_lines", "n_chunks", "n_removed_lines")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,10 +208,14 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps, with the columns of docs."""
-    rows = checkpoint(with_statistics(docs.select("text", "lang", "source")).drop("text", "lang", "source"))
-    estimates, n_groups = mcd_estimates(rows)
-    return with_verdict(with_statistics(docs), estimates, n_groups).where("q_kept").select(*docs.columns)
+    """The rows of docs that quality() keeps, with the columns of docs, whatever they are called.
+
+    The caller's row travels as one struct, so no name of it meets one used here. It is written out beside its
+    statistics, so that these are computed once.
+    """
+    rows = docs.select(F.struct("*").alias("own"), "text", "lang", "source")
+    rows = checkpoint(with_statistics(rows).drop("text", "lang", "source"))
+    return with_verdict(rows, *mcd_estimates(rows)).where("q_kept").select("own.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
