@@ -307,7 +307,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose doc_id is the least of its class, and those with null doc_id; columns of docs stay."""
     gone = ngram_jaccard(docs, n, num, den).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
