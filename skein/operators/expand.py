@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.analyzer import stop_words
 from skein.functions.text import fold, fold_text, lower_text, valid_word
 from skein.functions.trigram import osa_distance, similarity, trigrams
+from skein.operators.match import any_of
 
 MIN_SPELLING, VARIANTS, CORRECTIONS, SHORTLIST, THRESHOLD = 4, 3, 2, 50, 0.2
 
@@ -56,17 +57,27 @@ def spelling_candidates(vocabulary: DataFrame, words: Sequence[str]) -> DataFram
     return short.withColumn("distance", osa_distance("typed_folded", "folded")).where(F.col("distance") <= F.col("most")).select("typed", "word", "distance", "alike")
 
 
-def seen(candidates: DataFrame, surface: DataFrame, visible: DataFrame, weights: Sequence[str]) -> DataFrame:
-    """Candidates that stand, as written, in a searched field of some visible document: a semi-join, so nothing else shows."""
-    own = surface.where(F.col("weight").isin(list(weights))).join(visible.select("id"), "id", "left_semi")
-    return candidates.join(own.select("word"), "word", "left_semi")
+def seen(candidates: DataFrame, surface: DataFrame, visible: DataFrame, weights: Sequence[str]) -> list[Row]:
+    """Candidates that stand, as written, in a searched field of some visible document: a semi-join, so nothing else shows.
+
+    The candidates, SHORTLIST for each typed word at most, are fetched first, so that the scan of the surface
+    words, which are laid out by word, reads those alone.
+    """
+    rows = candidates.collect()
+    words = sorted({r["word"] for r in rows})
+    if not words:
+        return []
+    own = surface.where(F.col("word").isin(words) & F.col("weight").isin(list(weights))).join(visible.select("id"), "id", "left_semi")
+    found = {r["word"] for r in own.select("word").distinct().collect()}
+    return [r for r in rows if r["word"] in found]
 
 
 def typed_prefix_seen(words: Sequence[str], surface: DataFrame, visible: DataFrame, weights: Sequence[str]) -> set[str]:
     """Typed words that begin some word of a visible document."""
-    typed = _queries(surface, words).select("typed")
-    found = surface.where(F.col("weight").isin(list(weights))).join(F.broadcast(typed), F.expr("startswith(word, typed)"))
-    return {r["typed"] for r in found.join(visible.select("id"), "id", "left_semi").select("typed").distinct().collect()}
+    begun = [F.col("word").startswith(w) for w in words]
+    own = surface.where(any_of(begun) & F.col("weight").isin(list(weights))).join(visible.select("id"), "id", "left_semi")
+    row = own.agg(*[F.bool_or(b).alias(f"b{i}") for i, b in enumerate(begun)]).first()
+    return {w for i, w in enumerate(words) if row[f"b{i}"]}
 
 
 def pick_variants(rows: Sequence[tuple[str, str, int]]) -> dict[str, list[str]]:
@@ -91,7 +102,7 @@ def accent_variants(words: Sequence[str], vocabulary: DataFrame, surface: DataFr
     own = valid_words(words)
     if not own:
         return {}
-    rows = seen(accent_candidates(vocabulary, own), surface, visible, weights).collect()  # SHORTLIST for each word at most
+    rows = seen(accent_candidates(vocabulary, own), surface, visible, weights)
     return pick_variants([(r["typed"], r["word"], r["place"]) for r in rows])
 
 
@@ -103,7 +114,7 @@ def corrections(words: Sequence[str], known: Sequence[str], languages: Sequence[
         own = [w for w in own if w not in begun]
     if not own:
         return {}
-    rows = seen(spelling_candidates(vocabulary, own), surface, visible, weights).collect()  # SHORTLIST for each word at most
+    rows = seen(spelling_candidates(vocabulary, own), surface, visible, weights)
     return pick_corrections([(r["typed"], r["word"], r["distance"], r["alike"]) for r in rows])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.access import usable
@@ -13,7 +13,7 @@ from skein.functions.analyzer import lexeme
 from skein.functions.patterns import regex_filter, wildcard_filter
 from skein.functions.text import tokens, tokens_text
 from skein.model import ARRAY, BOOL, FIELD_WEIGHTS, INT_EQ, INT_GT, INT_GTE, INT_LT, INT_LTE, KEYWORD, REGEX, TEXT, WILDCARD, SearchRequest, SimpleQuery
-from skein.operators.match import all_of, any_of, in_language
+from skein.operators.match import all_of, any_of, in_language, limited
 
 # Names by which typed conditions reach columns, and names that never mean an info key.
 STRING_COLUMNS = {"title": "title", "content": "content", "source": "source", "hash": "hash", "owner": "owner_id", "owner_id": "owner_id", "provider": "provider_id", "provider_id": "provider_id", "document_id": "document_id"}
@@ -21,6 +21,9 @@ ARRAY_COLUMNS = {"tags": "tags", "metatags": "metatags", "subtags": "subtags", "
 INT_COLUMNS = {"modified_time": "modified_time", "lastModified": "modified_time"}
 RESERVED = {"id", "indexed_at", "config", "access", "users", "groups", "circles", "tsv", "title_search", "tags_text", "parts_text", "parts", "info", "subtags_map", "combined", "more"}
 
+#: Fields with lexemes of their own: a TEXT condition on them is a search limited to the field.
+INDEXED_TEXT = ("title", "tags", "content")
+
 _INTEGER = re.compile(r"[+-]?[0-9]{1,64}")
 _BIG = 10**37
 
@@ -111,7 +114,10 @@ def _compare(kind: str, column: Column, value: int) -> Column:
 
 
 def simple(query: SimpleQuery, languages: Sequence[str]) -> Column:
-    """One typed condition. Types that do not go with the field, reserved names and unusable values match nothing."""
+    """One typed condition. Types that do not go with the field, reserved names and unusable values match nothing.
+
+    Not for TEXT on INDEXED_TEXT, which needs postings: see rows_of_request().
+    """
     name, kind = query.field, query.kind
     part = name[6:] if name.startswith("parts.") else None
     key = name[5:] if name.startswith("info.") else None
@@ -185,5 +191,19 @@ def of_request(request: SearchRequest, tokens_: Sequence[str], languages: Sequen
     if request.subtags:
         out.append(all_tags("subtags", request.subtags))
     out += [pattern_group(g, False) for g in request.wildcards] + [pattern_group(g, True) for g in request.regexes]
-    out += [simple(q, languages) for q in request.simple]
+    out += [simple(q, languages) for q in request.simple if not _is_search(q)]
     return all_of(out)
+
+
+def _is_search(query: SimpleQuery) -> bool:
+    return query.kind == TEXT and query.field in INDEXED_TEXT
+
+
+def rows_of_request(docs: DataFrame, postings: DataFrame, request: SearchRequest, tokens_: Sequence[str], languages: Sequence[str]) -> DataFrame:
+    """docs that meet all conditions of a request but the words, typed searches of single fields included."""
+    out = docs.where(of_request(request, tokens_, languages))
+    for q in request.simple:
+        if _is_search(q):
+            text = q.values[0] if q.values and isinstance(q.values[0], str) else ""
+            out = limited(out, postings, text, FIELD_WEIGHTS[q.field], languages)
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import lower_text
 from skein.model import WEIGHT_VALUES
-from skein.operators.query import MIN_SUBSTRING, Element, Query, Term, sequences
+from skein.operators.query import MIN_SUBSTRING, Element, Query, Term, parse, sequences
 
 #: Term frequencies weigh ranks for queries of so many positive terms.
 IDF_TERMS = range(2, 9)
@@ -39,7 +39,8 @@ def _atom(e: Element) -> Column:
 class Compiled:
     """A query for an index: which postings to read, and what to make of them for each document."""
 
-    def __init__(self, queries: Mapping[str, Query], weights: Sequence[str], alternatives: Mapping[str, Sequence[str]] | None = None):
+    def __init__(self, queries: Mapping[str, Query], weights: Sequence[str], alternatives: Mapping[str, Sequence[str]] | None = None, inside_titles: bool = True):
+        self.inside_titles = inside_titles and "A" in weights
         self.languages = list(queries)
         self.queries = queries
         self.weights = list(weights)
@@ -96,7 +97,7 @@ class Compiled:
 
     @staticmethod
     def _sequence_weight(sequence: tuple[Element, ...], language: str, elements: Mapping[tuple[str, Element], int]) -> Column:
-        """Sum, over the places where the sequence stands, of the harmonic mean of its lexemes' weights."""
+        """Sum, over the places where the sequence stands, of its first lexeme's weight there."""
         columns = [F.col(f"e{elements[language, Element(0, e.lexeme, e.prefix)]}") for e in sequence]
         rest = list(zip(sequence[1:], columns[1:], strict=True))
 
@@ -119,7 +120,7 @@ class Compiled:
         """Whether a word of three letters or more stands anywhere in the title, if titles are searched."""
         term: Term = [*self.queries[language].required, *self.queries[language].optional, *self.queries[language].excluded][i]
         word = lower_text(term.text)
-        if term.phrase or i >= self.n_positive or "A" not in self.weights or len(word) < MIN_SUBSTRING or not self.plans[language][i]:
+        if term.phrase or i >= self.n_positive or not self.inside_titles or len(word) < MIN_SUBSTRING or not self.plans[language][i]:
             return None
         return F.col("title_search").contains(word)
 
@@ -168,11 +169,24 @@ def idf(frequency: int, size: int) -> float:
 
 
 def candidates(docs: DataFrame, postings: DataFrame, compiled: Compiled) -> DataFrame:
-    """docs with the terms' sums; documents without any hit stay only if the query also looks inside titles."""
+    """docs with the terms' sums: those that have any of the terms' lexemes, or match by their title alone."""
     hits = compiled.hits(postings)
     joined = docs.join(hits, "id", "left" if compiled.reads_titles else "inner")
     joined = joined.withColumns({f"c{i}": F.coalesce(f"c{i}", F.lit(0.0)) for i in range(len(compiled.terms))})
-    return joined.withColumns({"matched": compiled.matches(F.col("config")), "all_match": compiled.all_match(F.col("config"))})
+    joined = joined.withColumns({"matched": compiled.matches(F.col("config")), "all_match": compiled.all_match(F.col("config"))})
+    return joined.where(F.col("matched") | any_of([F.col(f"c{i}") > 0 for i in range(compiled.n_positive)]))
+
+
+def limited(docs: DataFrame, postings: DataFrame, text: str, weight: str, languages: Sequence[str]) -> DataFrame:
+    """docs that a search for the text, in the field of one weight, finds by its words; signs, quotes and prefixes count."""
+    queries = {l: parse(text, l) for l in languages}
+    if any(q is None for q in queries.values()):
+        return docs.where(F.lit(False))
+    compiled = Compiled(queries, [weight], inside_titles=False)
+    if not compiled.answerable:
+        return docs.where(F.lit(False))
+    found = candidates(docs.select("id", "config"), postings, compiled).where("matched").select("id")
+    return docs.join(found, "id", "left_semi").select(*docs.columns)
 
 
 def frequencies(found: DataFrame, compiled: Compiled) -> tuple[int, list[int]]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections.abc import Mapping, Sequence
-from dataclasses import asdict, replace
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from dataclasses import asdict, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,12 @@ from skein.operators.language import detect
 from skein.operators.match import Compiled, candidates, frequencies, ranked
 from skein.operators.query import Query, parse
 from skein.plans import build
-from skein.plans.store import Store
+from skein.plans.store import Conflict, Snapshot, Store
 from skein.settings import Settings
 
 TITLE_SIMILARITY = 0.6
+#: States that a change is tried on before it gives up against other writers.
+ATTEMPTS = 5
 _SCHEMAS = {"docs": DOCUMENT, "postings": POSTING, "surface": SURFACE, "words": WORD}
 
 
@@ -38,7 +41,11 @@ class Engine:
     id, name = "skein", "Full-text search on Spark"
 
     def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None):
+        """Without settings, those that the index was last written or configured with."""
         self.spark, self.store = spark, Store(spark, path)
+        if settings is None and self.store.exists():
+            stored = self.store.meta().get("settings", {})
+            settings = Settings(**{f.name: stored[f.name] for f in fields(Settings) if f.name in stored})
         self.settings = (settings or Settings()).clamped()
 
     # -- administration
@@ -46,14 +53,17 @@ class Engine:
     def initialize(self) -> None:
         """Create what is missing; build derived tables anew if they are of another version."""
         if not self.store.exists():
-            self.store.write({n: self.spark.createDataFrame([], s) for n, s in _SCHEMAS.items()}, n_docs=0, max_id=0)
+            places = self.store.add({n: self.spark.createDataFrame([], s) for n, s in _SCHEMAS.items()})
+            try:
+                self.store.commit(None, places, n_docs=0, max_id=0, settings=asdict(self.settings))
+            except Conflict:  # another one has just created it
+                self.store.check()
             return
         try:
             self.store.check()
         except RuntimeError:
-            meta = self.store.meta()
-            docs = self.spark.read.parquet(f"{self.store.path}/{meta['tables']['docs']}")
-            self._write(docs, meta.get("max_id", 0))
+            old = Snapshot(self.store, self.store.meta())
+            self._write(old, old.table("docs"), old.meta.get("max_id", 0))
 
     def load(self) -> None:
         """Make sure the index can be used: create it if absent, refuse one of another version."""
@@ -70,8 +80,11 @@ class Engine:
         return asdict(self.settings)
 
     def configure(self, values: Mapping[str, object]) -> bool:
-        """Change settings, all or none; True if documents must be indexed anew for a changed language."""
-        self.settings, changed = self.settings.changed(values)
+        """Change settings, all or none, and keep them with the index; True if documents must be indexed anew for a changed language."""
+        new, changed = self.settings.changed(values)
+        self.load()
+        self._changing(lambda snap: self.store.commit(snap, {}, settings=asdict(new)))
+        self.settings = new
         return changed
 
     def status(self) -> dict:
@@ -97,27 +110,47 @@ class Engine:
 
     # -- changes
 
-    def _write(self, docs: DataFrame, max_id: int, changed: DataFrame | None = None) -> None:
-        """A generation from a plan for docs, which is written first and read back by all that derives from it.
+    def _changing(self, change: Callable[[Snapshot], None]) -> None:
+        """Run a change on the current state; anew on the next one if another writer was first."""
+        for attempt in range(ATTEMPTS):
+            try:
+                return change(self.store.snapshot())
+            except Conflict:
+                if attempt + 1 == ATTEMPTS:
+                    raise
+
+    def _write(self, snap: Snapshot, docs: DataFrame, max_id: int, changed: DataFrame | None = None) -> None:
+        """The next state, from a plan for docs, which is written first and read back by all that derives from it.
 
         changed: (id) of documents that are new, different or gone. Only these are analysed; what the index has
-        of the others is carried over. Without it, everything is built anew.
+        of the others is carried over. Without it, everything is built anew. Readers see all of it at once.
         """
-        old = {n: self.store.table(n) for n in ("postings", "surface", "words")} if changed is not None else {}
-        self.store.write({"docs": docs})
-        docs = self.store.table("docs")
+        old = {n: snap.table(n) for n in ("postings", "surface", "words")} if changed is not None else {}
+        places = self.store.add({"docs": docs})
+        docs = self.store.read(places["docs"])
         facts = docs.agg(F.count("*").alias("n"), F.max("id").alias("m")).first()
         part = docs if changed is None else docs.join(changed, "id", "left_semi")
         tables = {"postings": build.postings(part, self.settings.languages), "surface": build.surface(part)}
         if changed is not None:
             tables = {n: old[n].join(changed, "id", "left_anti").select(*df.columns).unionByName(df) for n, df in tables.items()}
-        self.store.write(tables, n_docs=facts["n"], max_id=max(max_id, facts["m"] or 0))
+        places |= self.store.add(tables)
+        surface = self.store.read(places["surface"])
         if changed is None:
-            self.store.write({"words": build.vocabulary(self.store.table("surface"))})
+            places |= self.store.add({"words": build.vocabulary(surface)})
         elif self.settings.typo_correction:
-            fresh = build.vocabulary(self.store.table("surface").join(changed, "id", "left_semi"))
+            fresh = build.vocabulary(surface.join(changed, "id", "left_semi"))
             # Words of texts that are gone stay until the vocabulary is rebuilt.
-            self.store.write({"words": old["words"].unionByName(fresh.join(old["words"].select("word"), "word", "left_anti").select("word", "folded"))})
+            places |= self.store.add({"words": old["words"].unionByName(fresh.join(old["words"].select("word"), "word", "left_anti").select("word", "folded"))})
+        self.store.commit(snap, places, n_docs=facts["n"], max_id=max(max_id, facts["m"] or 0), settings=asdict(self.settings))
+
+    @contextmanager
+    def _work(self) -> Iterator[str]:
+        """A folder beside the tables that is gone afterwards, whatever happens."""
+        path = f"{self.store.path}/_work-{uuid.uuid4().hex}"
+        try:
+            yield path
+        finally:
+            self.store._fs.delete(self.store._path(path), True)
 
     def index(self, incoming: DataFrame, now: int | None = None, max_vector_bytes: int = 0) -> None:
         """Add or change a batch of documents (model.INCOMING), each key once; see build.latest() for repeated keys.
@@ -128,54 +161,61 @@ class Engine:
         rows = build.index_rows(incoming, self.settings, int(time.time()) if now is None else now)
         if max_vector_bytes:
             rows = build.degrade(rows, max_vector_bytes)
-        staged = f"{self.store.path}/_staged-{uuid.uuid4().hex}"
-        rows.write.parquet(staged)  # extraction runs once, and ids are dealt out over what is on disk
-        new = self.spark.read.parquet(staged)
-        meta = self.store.meta()
-        marked = build.upsert(self.store.table("docs"), new, meta["max_id"])
-        ids = f"{self.store.path}/_ids-{uuid.uuid4().hex}"
-        target = f"{self.store.path}/_docs-{uuid.uuid4().hex}"
-        marked.write.parquet(target)
-        docs = self.spark.read.parquet(target)
-        docs.join(new.select("provider_id", "document_id"), ["provider_id", "document_id"], "left_semi").select("id").write.parquet(ids)
-        self._write(docs, meta["max_id"], self.spark.read.parquet(ids))
-        for path in (staged, ids, target):
-            self.store._fs.delete(self.store._path(path), True)
+        with self._work() as work:
+            rows.write.parquet(f"{work}/new")  # extraction runs once, and ids are dealt out over what is on disk
+            new = self.spark.read.parquet(f"{work}/new")
 
-    def _remove(self, gone: DataFrame) -> None:
-        path = f"{self.store.path}/_ids-{uuid.uuid4().hex}"
-        gone.select("id").write.parquet(path)
-        ids = self.spark.read.parquet(path)
-        self._write(self.store.table("docs").join(ids, "id", "left_anti"), self.store.meta()["max_id"], ids)
-        self.store._fs.delete(self.store._path(path), True)
+            def change(snap: Snapshot) -> None:
+                build.upsert(snap.table("docs"), new, snap.meta["max_id"]).write.mode("overwrite").parquet(f"{work}/docs")
+                docs = self.spark.read.parquet(f"{work}/docs")
+                docs.join(new.select("provider_id", "document_id"), ["provider_id", "document_id"], "left_semi").select("id").write.mode("overwrite").parquet(f"{work}/ids")
+                self._write(snap, docs, snap.meta["max_id"], self.spark.read.parquet(f"{work}/ids"))
+
+            self._changing(change)
+
+    def _remove(self, which: Callable[[DataFrame], DataFrame]) -> None:
+        """Remove the rows of docs that ``which`` leaves of them."""
+
+        def change(snap: Snapshot) -> None:
+            with self._work() as work:
+                which(snap.table("docs")).select("id").write.parquet(work)
+                ids = self.spark.read.parquet(work)
+                self._write(snap, snap.table("docs").join(ids, "id", "left_anti"), snap.meta["max_id"], ids)
+
+        self.load()
+        self._changing(change)
 
     def delete(self, keys: DataFrame | Sequence[tuple[str, str]]) -> None:
         """Remove documents by (provider_id, document_id); absent ones are no error."""
-        self.load()
         if not isinstance(keys, DataFrame):
             keys = self.spark.createDataFrame(list(keys), "provider_id string, document_id string")
-        self._remove(self.store.table("docs").join(keys.select("provider_id", "document_id"), ["provider_id", "document_id"], "left_semi"))
+        own = keys.select("provider_id", "document_id")
+        self._remove(lambda docs: docs.join(own, ["provider_id", "document_id"], "left_semi"))
 
     def reset(self, provider: str) -> None:
         """Remove a provider's documents; ``all`` empties the index, its words too."""
-        self.load()
         if provider == "all":
-            self.store.write({n: self.spark.createDataFrame([], s) for n, s in _SCHEMAS.items()}, n_docs=0)
+            self.load()
+            places = self.store.add({n: self.spark.createDataFrame([], s) for n, s in _SCHEMAS.items()})
+            self._changing(lambda snap: self.store.commit(snap, places, n_docs=0))
         else:
-            self._remove(self.store.table("docs").where(F.col("provider_id") == provider))
+            self._remove(lambda docs: docs.where(F.col("provider_id") == provider))
 
     def rebuild(self) -> None:
         """Everything derived from stored text, as after a change of language: detected languages, postings, words."""
         self.load()
-        docs = self.store.table("docs")
-        config = detect(F.col("content"), F.col("parts_text"), F.col("title"), self.settings.languages)
-        docs = docs.withColumn("config", config).withColumn("title_search", T.lower(T.turkish(F.col("title"), F.col("config"))))
-        self._write(docs, self.store.meta()["max_id"])
+
+        def change(snap: Snapshot) -> None:
+            config = detect(F.col("content"), F.col("parts_text"), F.col("title"), self.settings.languages)
+            docs = snap.table("docs").withColumn("config", config).withColumn("title_search", T.lower(T.turkish(F.col("title"), F.col("config"))))
+            self._write(snap, docs, snap.meta["max_id"])
+
+        self._changing(change)
 
     def rebuild_vocabulary(self) -> int:
         """The vocabulary of what is indexed now, without words of texts that are gone. Readers see the old one until it is done."""
         self.load()
-        self.store.write({"words": build.vocabulary(self.store.table("surface"))})
+        self._changing(lambda snap: self.store.commit(snap, self.store.add({"words": build.vocabulary(snap.table("surface"))})))
         return self.store.table("words").count()
 
     # -- reading
@@ -194,9 +234,10 @@ class Engine:
     def alternatives(self, text: str, request: SearchRequest, access: Access) -> dict[str, list[str]]:
         """Accent variants and spelling corrections of the words of a text, as a search under the request would use them."""
         self.load()
-        visible = self.store.table("docs").where(filters.of_request(request, viewer_tokens(access), self.settings.languages))
+        snap = self.store.snapshot()
+        visible = filters.rows_of_request(snap.table("docs"), snap.table("postings"), request, viewer_tokens(access), self.settings.languages)
         words, weights = lower_text(text).split(), filters.weights(request.limit_fields)
-        surface, vocabulary = self.store.table("surface"), self.store.table("words")
+        surface, vocabulary = snap.table("surface"), snap.table("words")
         variants = expand.accent_variants(words, vocabulary, surface, visible, weights)
         if self.settings.use_trigram:
             variants |= expand.corrections(words, list(variants), self.settings.languages, vocabulary, surface, visible, weights)
@@ -241,48 +282,48 @@ class Engine:
         size = min(max(1, request.size), self.settings.max_results)
         offset = min((max(1, request.page) - 1) * size, 2**31 - 1 - size)
         languages = self.settings.languages
-        docs = self.store.table("docs")
-        visible = docs.where(filters.of_request(request, tokens, languages))
+        snap = self.store.snapshot()  # all that this search reads is of one state
+        visible = filters.rows_of_request(snap.table("docs"), snap.table("postings"), request, tokens, languages)
         if not request.search.strip():
             return self._empty_search(visible, size, offset) if request.empty_search else SearchResult()
         queries = {l: parse(request.search, l) for l in languages}
         if any(q is None for q in queries.values()):
             return SearchResult()
         words = list(dict.fromkeys(w for q in queries.values() for w in q.words))
-        surface, vocabulary = self.store.table("surface"), self.store.table("words")
+        surface, vocabulary = snap.table("surface"), snap.table("words")
         variants: dict[str, list[str]] = {}
         if self.settings.typo_correction and words:
             variants = expand.accent_variants(words, vocabulary, surface, visible, weights)
-        found, total, rows = self._page(visible, queries, weights, variants, size, offset, words)
+        found, total, rows = self._page(snap, visible, queries, weights, variants, size, offset, words)
         if self.settings.typo_correction and self.settings.use_trigram and offset == 0 and len(rows) < size and words:
             more = expand.corrections(words, list(variants), languages, vocabulary, surface, visible, weights)
             if more:
                 variants = {**variants, **more}
-                found, total, rows = self._page(visible, queries, weights, variants, size, offset, words)
+                found, total, rows = self._page(snap, visible, queries, weights, variants, size, offset, words)
         if total == 0 and "A" in weights and self.settings.use_trigram and all(q.plain for q in queries.values()) and found:
             fallback = self._similar_titles(visible, " ".join(words), size, offset)
             if fallback.total:
                 return fallback
         return self._shaped(rows, total, variants)
 
-    def _page(self, visible: DataFrame, queries: Mapping[str, Query], weights: Sequence[str], variants: Mapping[str, Sequence[str]], size: int, offset: int, words: Sequence[str]) -> tuple[bool, int, list]:
+    def _page(self, snap: Snapshot, visible: DataFrame, queries: Mapping[str, Query], weights: Sequence[str], variants: Mapping[str, Sequence[str]], size: int, offset: int, words: Sequence[str]) -> tuple[bool, int, list]:
         """(whether the query can match at all, total, rows of the page)."""
         compiled = Compiled(queries, weights, variants)
         if not compiled.answerable:
             return False, 0, []
         narrow = visible.select("id", "config", "modified_time", "title_search")
-        found = candidates(narrow, self.store.table("postings"), compiled).persist()
+        found = candidates(narrow, snap.table("postings"), compiled).persist()
         try:
             total, counts = frequencies(found, compiled)
             if total == 0 or offset >= total:
                 return True, total, []
-            page = ranked(found, compiled, counts, self.store.meta()["n_docs"]).offset(offset).limit(size).select("id", "all_match", "rank")
+            page = ranked(found, compiled, counts, snap.meta["n_docs"]).offset(offset).limit(size).select("id", "all_match", "rank")
             ids = page.collect()  # one page
         finally:
             found.unpersist()
         order = {r["id"]: (n, r["rank"]) for n, r in enumerate(ids)}
         shown = [*words, *(w for v in variants.values() for w in v), *(lower_text(x) for q in queries.values() for t in q.positive if t.phrase for x in t.text.split())]
-        full = self.store.table("docs").where(F.col("id").isin(list(order)))
+        full = snap.table("docs").where(F.col("id").isin(list(order)))
         full = full.select("id", "provider_id", "document_id", "title", "source", "hash", "modified_time", excerpts(F.col("content"), F.col("parts_text"), F.col("config"), list(dict.fromkeys(shown)), weights).alias("excerpts"))
         rows = [{**r.asDict(recursive=True), "rank": order[r["id"]][1]} for r in full.collect()]
         return True, total, sorted(rows, key=lambda r: order[r["id"]][0])

@@ -134,11 +134,14 @@ def simple_bool(spark, sf_dir):
     return corpus.with_labels(spark, sf_dir).where(filters.simple(SimpleQuery(BOOL, "toxic", [True]), ["simple"])).select("document_id")
 
 
-@query(f"WITH {_SEEN} SELECT document_id FROM seen WHERE list_has_all({_tokens_sql('title')}, ['txt']) OR list_has_all({_tokens_sql('content')}, ['license', 'the'])")
+@query(f"""WITH {_SEEN}, t AS (SELECT document_id, {_tokens_sql('content')} AS l, {_tokens_sql('tags_text')} AS g FROM seen)
+SELECT document_id FROM t WHERE len(list_filter(l, lambda x: starts_with(x, 'th'))) > 0 AND contains(' ' || array_to_string(l, ' ') || ' ', ' of the ')
+  AND NOT list_contains(l, 'eran') AND (list_contains(g, 'en') OR list_contains(g, 'fr'))""")
 def simple_text_any_field(spark, sf_dir):
-    docs = _seen(spark, sf_dir)
-    own = filters.simple(SimpleQuery(TEXT, "title", ["txt"]), ["simple"]) | filters.simple(SimpleQuery(TEXT, "content", ["the License"]), ["simple"])
-    return docs.where(own).select("document_id")
+    """Searches of single fields as conditions: a prefix and a phrase required, a word excluded, and one of two tags."""
+    docs = corpus.documents(spark, sf_dir)
+    request = SearchRequest(provider="documents", simple=[SimpleQuery(TEXT, "content", ['+th +"of the" -eran']), SimpleQuery(TEXT, "tags", ["en fr"])])
+    return filters.rows_of_request(docs, build.postings(docs, ["simple"]), request, viewer_tokens(VIEWER), ["simple"]).select("document_id")
 
 
 @query(f"WITH {_SEEN} SELECT document_id FROM seen WHERE id IN (SELECT doc_id FROM labels WHERE quality = 0) AND lang = 'en' AND modified_time >= 1700000010")
@@ -297,7 +300,8 @@ SELECT word FROM t WHERE word IN (SELECT lexeme FROM postings WHERE weight = 'D'
 def visible_word_probe(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in ("the", "und", "zzzz", "licensed", "eran")], "word string")
     docs = corpus.documents(spark, sf_dir)
-    return expand.seen(words, build.surface(docs), _seen(spark, sf_dir), ("D",))
+    found = expand.seen(words, build.surface(docs), _seen(spark, sf_dir), ("D",))
+    return spark.createDataFrame([(r["word"],) for r in found], "word string")
 
 
 @query()

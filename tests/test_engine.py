@@ -4,6 +4,7 @@ from helpers import ME, doc, frame, ids
 from skein.access import Access
 from skein.model import CONTENT, META, OK, SearchRequest, SimpleQuery
 from skein.plans.engine import Engine, NotFound, with_settings
+from skein.plans.store import Conflict
 from skein.settings import Settings
 
 DOCS = [
@@ -96,6 +97,9 @@ def test_filters(engine):
         (SimpleQuery("array", "list", [["q"]]), ["one"]),
         (SimpleQuery("wildcard", "info.name", ["del*"]), ["one"]),
         (SimpleQuery("keyword", "tags", ["legal"]), ["lic"]),
+        (SimpleQuery("text", "tags", ["leg"]), ["lic"]),
+        (SimpleQuery("text", "tags", ["-legal"]), []),
+        (SimpleQuery("text", "parts", ["remark"]), []),
         (SimpleQuery("text", "parts.comments", ["remark"]), ["one"]),
         (SimpleQuery("regex", "title", [".*final.*"]), ["two"]),
         (SimpleQuery("int_gte", "lastModified", [1_700_000_200]), ["two"]),
@@ -204,3 +208,69 @@ def test_timeout(engine):
     slow._search = lambda request, access: slow.spark.range(10**12).selectExpr("sum(id % 7)").collect()
     result = slow.search(SearchRequest("x", provider="files"), ME)
     assert result.timed_out and result.documents == []
+
+
+def test_text_condition_is_a_search(spark, tmp_path):
+    """On title and content signs, quotes and prefixes count, as in a search limited to the field."""
+    e = Engine(spark, str(tmp_path / "i"))
+    e.index(frame(spark, [doc("1", "yearly plan 2024", "the final plan is drawn up"), doc("2", "draft memo", "a draft of the plan")]), now=1)
+
+    def found(field, text):
+        return sorted(ids(e, "", empty_search=True, simple=[SimpleQuery("text", field, [text])]))
+
+    assert found("title", "yea") == ["1"] and found("title", "+plan -draft") == ["1"] and found("title", "plan memo") == ["1", "2"]
+    assert found("content", "plan -draft") == ["1"] and found("content", '"final plan"') == ["1"] and found("content", '"plan final"') == []
+    assert found("title", "earl") == [] and found("content", "-draft") == [] and found("content", "") == []
+
+
+def test_settings_stay_with_the_index(spark, tmp_path):
+    path = str(tmp_path / "i")
+    Engine(spark, path, Settings(language="german", max_results=7)).index(frame(spark, [doc("d", "", "die alten Häuser")]), now=1)
+    again = Engine(spark, path)
+    assert again.settings.language == "german" and again.settings.max_results == 7 and ids(again, "haus") == ["d"]
+    assert again.configure({"max_results": 9}) is False and Engine(spark, path).settings.max_results == 9
+    assert Engine(spark, path, Settings()).settings.language == "english"
+
+
+def test_two_writers(spark, tmp_path):
+    """Two changes made from one state: the second is tried again on what the first left, and nothing is lost."""
+    e = Engine(spark, str(tmp_path / "i"))
+    e.index(frame(spark, [doc("a", "", "apple")]), now=1)
+    write, raced = e._write, []
+
+    def late(snap, *rest):
+        if not raced:
+            raced.append(snap.meta["state"])
+            Engine(spark, str(tmp_path / "i")).index(frame(spark, [doc("b", "", "banana")]), now=2)
+        write(snap, *rest)
+
+    e._write = late
+    e.index(frame(spark, [doc("c", "", "cherry")]), now=3)
+    assert raced and [ids(e, w) for w in ("apple", "banana", "cherry")] == [["a"], ["b"], ["c"]]
+    snap = e.store.snapshot()
+    e.store.commit(snap, {})
+    with pytest.raises(Conflict):
+        e.store.commit(snap, {})
+
+
+def test_a_write_that_dies(spark, tmp_path):
+    """Between tables nothing of a change shows, readers keep their state, and no work folder is left."""
+    e = Engine(spark, str(tmp_path / "i"))
+    e.index(frame(spark, [doc("a", "", "apple")]), now=1)
+    before, held = e.store.meta(), e.store.snapshot()
+    add, calls = e.store.add, []
+
+    def dies(tables):
+        calls.append(tables)
+        if len(calls) == 2:
+            raise OSError("no room")
+        return add(tables)
+
+    e.store.add = dies
+    with pytest.raises(OSError):
+        e.index(frame(spark, [doc("a", "", "avocado")]), now=2)
+    assert e.store.meta() == before and ids(e, "apple") == ["a"] and ids(e, "avocado") == []
+    assert not [p for p in (tmp_path / "i").iterdir() if p.name.startswith("_work")]
+    e.store.add = add
+    e.index(frame(spark, [doc("a", "", "avocado")]), now=3)
+    assert ids(e, "avocado") == ["a"] and held.table("docs").first()["content"] == "apple"

@@ -33,6 +33,10 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
+#: What SQL can't express; tests/test_functions.py, test_engine.py and test_extract.py hold these operators against values worked out by hand.
+NO_SQL = {"spelling_candidates", "title_similarity_fallback", "language_scores", "language_decision", "stemmed_search_en", "excerpt_page", "markup_strip"}
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query(spark, duck, name):
     df = queries.QUERIES[name](spark, DATA)
@@ -42,11 +46,11 @@ def test_query(spark, duck, name):
         want = duck.sql(f"SELECT {', '.join(columns)} FROM ({queries.SQL[name]})").fetchall()
         assert got == sorted(repr([plain(x) for x in r]) for r in want)
     else:
-        assert len(got) == len(df.select(*columns).collect())
+        assert got and name in NO_SQL
 
 
 def test_entry(spark):
-    assert entries.entry(spark).count() >= 0
+    assert entries.entry(spark).count() > 0
     assert set(entries.oracle_sql()) <= set(entries.queries())
 
 
