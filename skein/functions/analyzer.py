@@ -40,20 +40,28 @@ def lexeme(word: str, language: str) -> str | None:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(tokens: pd.Series, config: pd.Series) -> pd.Series:
-    memo: dict[tuple[str, str], str] = {}
+    one = cache(stem)
+    return pd.Series([None if ws is None else [one(w, c) for w in ws] for ws, c in zip(tokens, config, strict=True)])
 
-    def one(word: str, language: str) -> str:
-        key = word, language
-        if key not in memo:
-            memo[key] = stem(word, language)
-        return memo[key]
 
-    return pd.Series([None if ws is None else [one(w, c) for w in ws] for ws, c in zip(tokens, config, strict=True)])
+@F.pandas_udf(T.StringType())
+def _stem_of(token: pd.Series, config: pd.Series) -> pd.Series:
+    one = cache(stem)  # of one batch
+    return pd.Series([one(w, c) for w, c in zip(token, config, strict=True)], dtype=object)
+
+
+def has_stemmer(languages: list[str]) -> bool:
+    return any(x in STEMMERS for x in languages)
 
 
 def stems(tokens: Column, config: Column, languages: list[str]) -> Column:
     """Stems of an array of tokens, by each row's language; stays in the JVM if no language has a stemmer."""
-    return _stems(tokens, config) if any(x in STEMMERS for x in languages) else tokens
+    return _stems(tokens, config) if has_stemmer(languages) else tokens
+
+
+def stem_of(token: Column, config: Column, languages: list[str]) -> Column:
+    """The same of one token."""
+    return _stem_of(token, config) if has_stemmer(languages) else token
 
 
 def is_stop_word(token: Column, config: Column, languages: list[str]) -> Column:

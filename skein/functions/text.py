@@ -23,6 +23,8 @@ TOKEN = (
     r"|[\p{L}\p{N}]+"
 )
 _TOKEN = regex.compile(TOKEN)
+# Java only: a whole run that nothing follows which could make it an address, a host or a compound needs no other try.
+_TOKEN_JAVA = r"[\p{L}\p{N}]++(?![@._+-])|" + TOKEN
 _SPLITS = (
     (r"(\p{L})(\p{N})", "$1 $2"),
     (r"(\p{N})(\p{L})", "$1 $2"),
@@ -68,7 +70,7 @@ def split_title_text(title: str) -> str:
 
 def tokens(text: Column) -> Column:
     """Lower-cased tokens in order; a compound is followed by its parts and a host with a path by the host."""
-    found = F.regexp_extract_all(lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN_JAVA), F.lit(0))
     return F.flatten(F.transform(found, _with_parts))
 
 

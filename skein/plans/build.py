@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from skein.access import document_tokens_column
 from skein.functions import text as T
-from skein.functions.analyzer import is_stop_word, stems
+from skein.functions.analyzer import has_stemmer, is_stop_word, stem_of
 from skein.model import CONTENT, FULL, META, PARTS
 from skein.operators.language import detect
 from skein.settings import CONTENT_LIMIT, Settings
@@ -167,13 +167,29 @@ def token_stream(docs: DataFrame) -> DataFrame:
     return rows.where("t IS NOT NULL").select("id", "config", F.least(F.col("pos") + 1, F.lit(MAX_POSITION)).alias("pos"), F.col("t.token").alias("token"), F.col("t.weight").alias("weight"))
 
 
+def terms(docs: DataFrame, languages: list[str]) -> DataFrame:
+    """(id, config, lexeme, weight, positions, words): what postings and surface words derive from; lexeme is null for stop words.
+
+    Positions ascend and are capped. No shuffle if docs are partitioned by id, as whole indexes are built from: then texts
+    move once and tokens never do. Searches of raw text leave docs as they are, and shuffle the few tokens they look for.
+    """
+    token, config = F.col("token"), F.col("config")
+    own = token_stream(docs).groupBy("id", "config", "token", "weight").agg(F.collect_list("pos").alias("at"))  # of one document
+    own = own.withColumn("lexeme", F.when(~is_stop_word(token, config, languages), stem_of(token, config, languages)))
+    if has_stemmer(languages):
+        own = own.groupBy("lexeme", "config", "id", "weight").agg(F.flatten(F.collect_list("at")).alias("at"), F.collect_list("token").alias("words"))
+    else:
+        own = own.withColumn("words", F.array("token"))
+    return own.select("id", "config", "lexeme", "weight", F.slice(F.array_sort(F.array_distinct("at")), 1, MAX_POSITIONS).cast("array<int>").alias("positions"), "words")
+
+
 def postings(docs: DataFrame, languages: list[str]) -> DataFrame:
     """(lexeme, config, id, weight, positions): stop words gone, words stemmed, positions ascending and capped."""
-    stream = token_stream(docs).where(~is_stop_word(F.col("token"), F.col("config"), languages))
-    grouped = stream.groupBy("id", "config", "token", "weight").agg(F.collect_list("pos").alias("at"))  # of one document
-    grouped = grouped.withColumn("lexeme", stems(F.array("token"), F.col("config"), languages)[0])
-    out = grouped.groupBy("lexeme", "config", "id", "weight").agg(F.flatten(F.collect_list("at")).alias("at"))
-    return out.select("lexeme", "config", "id", "weight", F.slice(F.array_sort(F.array_distinct("at")), 1, MAX_POSITIONS).cast("array<int>").alias("positions"))
+    return postings_of(terms(docs, languages))
+
+
+def postings_of(terms_: DataFrame) -> DataFrame:
+    return terms_.where("lexeme IS NOT NULL").select("lexeme", "config", "id", "weight", "positions")
 
 
 def surface(docs: DataFrame) -> DataFrame:
@@ -181,5 +197,15 @@ def surface(docs: DataFrame) -> DataFrame:
     return token_stream(docs).where(T.is_vocabulary_word(F.col("token"))).select(F.col("token").alias("word"), "config", "id", "weight").distinct()
 
 
-def vocabulary(surface_: DataFrame) -> DataFrame:
-    return surface_.select("word").distinct().withColumn("folded", T.fold(F.col("word")))
+def surface_of(terms_: DataFrame) -> DataFrame:
+    """The same of terms, where each word of a document's field stands once."""
+    return terms_.select(F.explode("words").alias("word"), "config", "id", "weight").where(T.is_vocabulary_word(F.col("word")))
+
+
+def vocabulary(words: DataFrame) -> DataFrame:
+    return words.select("word").distinct().withColumn("folded", T.fold(F.col("word")))
+
+
+def vocabulary_of(docs: DataFrame) -> DataFrame:
+    """The vocabulary of raw texts, without the surface words of each document."""
+    return vocabulary(token_stream(docs).select(F.col("token").alias("word")).where(T.is_vocabulary_word(F.col("word"))))

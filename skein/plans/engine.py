@@ -130,10 +130,14 @@ class Engine:
         docs = self.store.read(places["docs"])
         facts = docs.agg(F.count("*").alias("n"), F.max("id").alias("m")).first()
         part = docs if changed is None else docs.join(changed, "id", "left_semi")
-        tables = {"postings": build.postings(part, self.settings.languages), "surface": build.surface(part)}
-        if changed is not None:
-            tables = {n: old[n].join(changed, "id", "left_anti").select(*df.columns).unionByName(df) for n, df in tables.items()}
-        places |= self.store.add(tables)
+        with self._work() as work:
+            # Texts are analysed once; both tables, and the samples that their order takes, come from what is on disk.
+            build.terms(part.repartition("id"), self.settings.languages).write.parquet(work)
+            terms = self.spark.read.parquet(work)
+            tables = {"postings": build.postings_of(terms), "surface": build.surface_of(terms)}
+            if changed is not None:
+                tables = {n: old[n].join(changed, "id", "left_anti").select(*df.columns).unionByName(df) for n, df in tables.items()}
+            places |= self.store.add(tables)
         surface = self.store.read(places["surface"])
         if changed is None:
             places |= self.store.add({"words": build.vocabulary(surface)})

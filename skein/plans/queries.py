@@ -244,13 +244,13 @@ def all_terms_first(spark, sf_dir):
 @query(f"WITH {_SEEN}, {_POSTINGS} SELECT lexeme, count(DISTINCT id) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM postings GROUP BY lexeme")
 def document_frequency(spark, sf_dir):
     """Bulk: documents and occurrences of every word that the viewer may see."""
-    return build.postings(_seen(spark, sf_dir), ["simple"]).groupBy("lexeme").agg(F.countDistinct("id").alias("documents"), F.sum(F.size("positions")).cast("long").alias("occurrences"))
+    return build.postings(_seen(spark, sf_dir).repartition("id"), ["simple"]).groupBy("lexeme").agg(F.countDistinct("id").alias("documents"), F.sum(F.size("positions")).cast("long").alias("occurrences"))
 
 
 @query(f"WITH {_DOCS}, seen AS (SELECT * FROM docs), {_POSTINGS} SELECT lexeme, id, weight, CAST(n AS INTEGER) AS n FROM postings")
 def build_postings(spark, sf_dir):
     """Bulk: the inverted index of all documents."""
-    return build.postings(corpus.documents(spark, sf_dir), ["simple"]).select("lexeme", "id", "weight", F.size("positions").alias("n"))
+    return build.postings(corpus.documents(spark, sf_dir).repartition("id"), ["simple"]).select("lexeme", "id", "weight", F.size("positions").alias("n"))
 
 
 # -- vocabulary and expansion
@@ -260,7 +260,7 @@ _VOCABULARY = f"{_DOCS}, seen AS (SELECT * FROM docs), {_POSTINGS}, vocabulary A
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build.vocabulary(build.surface(corpus.documents(spark, sf_dir)))
+    return build.vocabulary_of(corpus.documents(spark, sf_dir))
 
 
 @query(f"WITH {_VOCABULARY} SELECT word, folded FROM words")
@@ -429,7 +429,7 @@ SELECT item_id, CAST(id AS VARCHAR) AS document_id, words FROM (SELECT *, row_nu
 def many_queries_top10(spark, sf_dir):
     """Throughput: each benchmark text as a query of its words against all documents at once, the ten best of each."""
     words = corpus.table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.simple_words(F.col("text")))).alias("lexeme"))
-    own = build.postings(corpus.documents(spark, sf_dir), ["simple"]).where("weight = 'D'").select("lexeme", "id")
+    own = build.postings(corpus.documents(spark, sf_dir).repartition("id"), ["simple"]).where("weight = 'D'").select("lexeme", "id")
     hits = own.join(words, "lexeme").groupBy("item_id", "id").agg(F.count("*").alias("words"))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("words"), "id"))
     return hits.withColumn("k", place).where("k <= 10").select("item_id", F.col("id").cast("string").alias("document_id"), "words")
