@@ -40,7 +40,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [("quality", quality_stage), ("lines", line_stage), ("near_duplicates", near_duplicate_stage), ("benchmark", benchmark_stage), ("encoding", encoding_stage)]
-#: Minimum-covariance estimates, SimHash and BPE are beyond SQL; tests hold run() against the same stages written and read again. The quality verdict has no brute-force version.
+#: Minimum-covariance estimates, SimHash and BPE are beyond SQL; tests hold run() against plain versions of all five stages.
 ORACLE_SQL = None
 
 
