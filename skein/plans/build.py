@@ -127,6 +127,26 @@ def with_ids(rows: DataFrame, base: int) -> DataFrame:
     return placed.withColumn("_n", F.row_number().over(within)).join(F.broadcast(counts.select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))), "_p").withColumn("id", (F.lit(base) + F.col("_before") + F.col("_n")).cast("long")).drop("_p", "_n", "_before")
 
 
+def of_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The docs of (provider_id, document_id) in keys, which may name absent ones and repeat."""
+    own = keys.select("provider_id", "document_id")
+    return docs.join(own, ["provider_id", "document_id"], "left_semi")
+
+
+def of_provider(docs: DataFrame, provider: str) -> DataFrame:
+    return docs.where(F.col("provider_id") == provider)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for those whose id is in gone."""
+    return docs.join(gone.select("id"), "id", "left_anti")
+
+
+def by_language(docs: DataFrame) -> DataFrame:
+    """config and count, most documents first."""
+    return docs.groupBy("config").count().orderBy(F.desc("count"), "config")
+
+
 def upsert(old: DataFrame, new: DataFrame, max_id: int) -> DataFrame:
     """Documents after a batch: matched rows keep their id, and content or parts that the batch doesn't replace; others are added."""
     keys = ["provider_id", "document_id"]

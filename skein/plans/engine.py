@@ -106,7 +106,7 @@ class Engine:
         }
 
     def documents_by_language(self) -> DataFrame:
-        return self.store.table("docs").groupBy("config").count().orderBy(F.desc("count"), "config")
+        return build.by_language(self.store.table("docs"))
 
     # -- changes
 
@@ -184,7 +184,7 @@ class Engine:
             with self._work() as work:
                 which(snap.table("docs")).select("id").write.parquet(work)
                 ids = self.spark.read.parquet(work)
-                self._write(snap, snap.table("docs").join(ids, "id", "left_anti"), snap.meta["max_id"], ids)
+                self._write(snap, build.without(snap.table("docs"), ids), snap.meta["max_id"], ids)
 
         self.load()
         self._changing(change)
@@ -193,8 +193,7 @@ class Engine:
         """Remove documents by (provider_id, document_id); absent ones are no error."""
         if not isinstance(keys, DataFrame):
             keys = self.spark.createDataFrame(list(keys), "provider_id string, document_id string")
-        own = keys.select("provider_id", "document_id")
-        self._remove(lambda docs: docs.join(own, ["provider_id", "document_id"], "left_semi"))
+        self._remove(lambda docs: build.of_keys(docs, keys))
 
     def reset(self, provider: str) -> None:
         """Remove a provider's documents; ``all`` empties the index, its words too."""
@@ -203,7 +202,7 @@ class Engine:
             places = self.store.add({n: self.spark.createDataFrame([], s) for n, s in _SCHEMAS.items()})
             self._changing(lambda snap: self.store.commit(snap, places, n_docs=0))
         else:
-            self._remove(lambda docs: docs.where(F.col("provider_id") == provider))
+            self._remove(lambda docs: build.of_provider(docs, provider))
 
     def rebuild(self) -> None:
         """Everything derived from stored text, as after a change of language: detected languages, postings, words."""

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import zipfile
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +25,7 @@ from skein.operators.query import parse
 from skein.plans import build
 from skein.settings import Settings
 from skein.sources import corpus
-from skein.sources.extract import page_text
+from skein.sources.extract import BLOCK_TAGS, page_text
 
 VIEWER = Access(viewer="src1", groups=("g2",))
 ALL = ("A", "B", "C", "D")
@@ -289,9 +294,13 @@ def trigram_similarity_pairs(spark, sf_dir):
     return pairs.where(F.col("alike") >= expand.THRESHOLD).select("typed", "word", F.round("alike", 6).alias("alike"))
 
 
-@query()
+@query(f"""WITH {_VOCABULARY}, t(typed) AS (VALUES ('thier'), ('wihch'), ('natoin')),
+s AS (SELECT typed, word, folded, {_grams_sql('folded')} AS a, {_grams_sql('typed')} AS b FROM words, t WHERE length(word) >= 2 AND abs(length(word) - length(typed)) <= 1 AND word <> typed),
+r AS (SELECT typed, word, folded, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS alike FROM s),
+p AS (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY alike DESC, word) AS place FROM r WHERE alike >= 0.2)
+SELECT typed, word, CAST(damerau_levenshtein(typed, folded) AS INTEGER) AS distance, round(alike, 6) AS alike FROM p WHERE place <= 50 AND damerau_levenshtein(typed, folded) <= 1""")
 def spelling_candidates(spark, sf_dir):
-    """Swaps count as one edit, which SQL has no function for."""
+    """Words one edit away; at that distance the SQL function, which may edit a place twice, says the same."""
     return expand.spelling_candidates(_vocabulary(spark, sf_dir), ["thier", "wihch", "natoin"]).select("typed", "word", "distance", F.round("alike", 6).alias("alike"))
 
 
@@ -304,9 +313,17 @@ def visible_word_probe(spark, sf_dir):
     return spark.createDataFrame([(r["word"],) for r in found], "word string")
 
 
-@query()
+def _ordered_grams_sql(text: str) -> str:
+    return f"flatten(list_transform(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
+
+
+@query(f"""WITH q AS (SELECT list_distinct({_ordered_grams_sql("'blue bolts'")}) AS want), g AS (SELECT p_partkey, {_ordered_grams_sql('lower(p_name)')} AS g FROM part),
+p AS (SELECT p_partkey, g, want, unnest(list_filter(range(1, len(g) + 1), lambda i: list_contains(want, g[i]))) AS a FROM g, q),
+e AS (SELECT p_partkey, want, list_distinct(g[a:b]) AS s FROM (SELECT *, unnest(range(a, len(g) + 1)) AS b FROM p)),
+n AS (SELECT p_partkey, len(list_intersect(s, want)) AS k, len(want) + len(s) AS n FROM e)
+SELECT CAST(p_partkey AS VARCHAR) AS document_id, round(max(k / (n - k)), 6) AS alike FROM n GROUP BY p_partkey HAVING max(k / (n - k)) >= 0.6""")
 def title_similarity_fallback(spark, sf_dir):
-    """Best extent of a title's trigrams; SQL has no such function."""
+    """Best extent of a title's trigrams."""
     close = corpus.parts(spark, sf_dir).withColumn("alike", word_similarity(F.lit("blue bolts"), F.col("title_search")))
     return close.where(F.col("alike") >= 0.6).select("document_id", F.round("alike", 6).alias("alike"))
 
@@ -316,9 +333,36 @@ def title_similarity_fallback(spark, sf_dir):
 _LISTS = ("english", "german", "french", "spanish")
 
 
+def _scores_sql() -> str:
+    """Common tables of stop words, read from the files of the Spark in use, and of their number in each text."""
+    jars = glob.glob(os.path.join(os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    with zipfile.ZipFile(jars[0]) as z:
+        rows = [(x, w.lower()) for x in _LISTS for w in z.read(f"org/apache/spark/ml/feature/stopwords/{x}.txt").decode().split() if w.isalpha()]
+    values = ", ".join(f"('{x}', '{w}')" for x, w in dict.fromkeys(rows))
+    counts = ", ".join(f"CAST(count(*) FILTER (language = '{x}') AS INTEGER) AS {x}" for x in _LISTS)
+    return (
+        f"WITH stop(language, word) AS (VALUES {values}), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 2000)), '[\\p{{L}}\\p{{N}}]+')) AS word FROM documents), "
+        "n AS (SELECT doc_id, language FROM w JOIN stop USING (word)), "
+        f"scores AS (SELECT CAST(d.doc_id AS VARCHAR) AS document_id, {counts} FROM documents d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id)"
+    )
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the queries, with that of languages where Spark's own files are at hand."""
+    try:
+        scores_sql = _scores_sql()
+    except (IndexError, OSError):
+        return dict(SQL)
+    best = "CASE n[1] " + " ".join(f"WHEN {x} THEN '{x}'" for x in _LISTS) + " END"
+    return SQL | {
+        "language_scores": f"{scores_sql} SELECT * FROM scores",
+        "language_decision": f"{scores_sql} SELECT document_id, CASE WHEN n[1] >= 2 AND n[1] >= 1.5 * n[2] THEN {best} ELSE '{_LISTS[0]}' END AS language FROM (SELECT *, list_sort([{', '.join(_LISTS)}], 'DESC') AS n FROM scores)",
+    }
+
+
 @query()
 def language_scores(spark, sf_dir):
-    """Stop words of four languages at the start of each text; Spark's own lists, too long for SQL text."""
+    """Stop words of four languages at the start of each text."""
     docs = corpus.documents(spark, sf_dir)
     return docs.select("document_id", *[c.alias(x) for x, c in scores(F.substring("content", 1, 2000), _LISTS).items()])
 
@@ -331,13 +375,15 @@ def language_decision(spark, sf_dir):
 
 @query("SELECT lang AS language, count(*) AS documents FROM documents GROUP BY lang")
 def documents_by_language(spark, sf_dir):
-    return corpus.documents(spark, sf_dir).groupBy(F.col("metatags")[0].alias("language")).agg(F.count("*").alias("documents")).orderBy(F.desc("documents"))
+    docs = corpus.documents(spark, sf_dir).withColumn("config", F.col("metatags")[0])
+    return build.by_language(docs).select(F.col("config").alias("language"), F.col("count").alias("documents"))
 
 
-@query()
+@query(f"""WITH {_SEEN}, {_POSTINGS} SELECT document_id, bool_or(starts_with(lexeme, 'reserv')) AS all_match FROM postings JOIN seen USING (id) GROUP BY document_id HAVING bool_or(starts_with(lexeme, 'licens'))""")
 def stemmed_search_en(spark, sf_dir):
+    """Typed words match as beginnings of stems; all words that begin with these two stems keep them when stemmed."""
     docs = _seen(spark, sf_dir).withColumn("config", F.lit("english"))
-    compiled = Compiled({"english": parse("+licensed reserved")}, ALL)
+    compiled = Compiled({"english": parse("+licensed reserved", "english")}, ALL)
     found = candidates(docs.select("id", "document_id", "config", "modified_time", "title_search"), build.postings(docs, ["english"]), compiled)
     return found.where("matched").select("document_id", "all_match")
 
@@ -353,7 +399,11 @@ def excerpt_page(spark, sf_dir):
 # -- sources and changes
 
 
-@query()
+_ENTITIES = {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&amp;": "&"}  # those of the table; the ampersand last
+_BARE = f"regexp_replace(regexp_replace(html, '{BLOCK_TAGS}', ' ', 'g'), '(?s)<!--.*?-->|<(?:\"[^\"]*\"|''[^'']*''|[^>\"''])*>', '', 'g')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({reduce(lambda text, e: f"regexp_replace({text}, '{e[0]}?', '{e[1]}', 'g')", _ENTITIES.items(), _BARE)}, '\\s+', ' ', 'g')) AS text FROM pages")
 def markup_strip(spark, sf_dir):
     return corpus.table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"))
 
@@ -396,14 +446,16 @@ def upsert_partial(spark, sf_dir):
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS document_id FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
 def delete_key(spark, sf_dir):
-    gone = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("document_id"))
-    return corpus.documents(spark, sf_dir).join(gone, "document_id", "left_anti").select("document_id")
+    keys = corpus.table(spark, sf_dir, "benchmark").select(F.lit("documents").alias("provider_id"), F.col("item_id").cast("string").alias("document_id"))
+    docs = corpus.documents(spark, sf_dir)
+    return build.without(docs, build.of_keys(docs, keys)).select("document_id")
 
 
 @query("SELECT 'conversations' AS provider_id, count(*) AS documents FROM conversations")
 def reset_provider(spark, sf_dir):
-    both = corpus.documents(spark, sf_dir).select("provider_id").unionByName(corpus.conversations(spark, sf_dir).select("provider_id"))
-    return both.where("provider_id <> 'documents'").groupBy("provider_id").agg(F.count("*").alias("documents"))
+    # Ids are unique in an index, so those of the second table become negative.
+    both = corpus.documents(spark, sf_dir).select("provider_id", "id").unionByName(corpus.conversations(spark, sf_dir).select("provider_id", (-1 - F.col("id")).alias("id")))
+    return build.without(both, build.of_provider(both, "documents")).groupBy("provider_id").agg(F.count("*").alias("documents"))
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
