@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from skein.functions.analyzer import stop_words
 from skein.functions.text import fold, fold_text, lower_text, valid_word
-from skein.functions.trigram import osa_distance, similarity, trigrams
+from skein.functions.trigram import osa_distance, similarity, trigrams, trigrams_text, word_similarity
 from skein.operators.match import any_of
 
 MIN_SPELLING, VARIANTS, CORRECTIONS, SHORTLIST, THRESHOLD = 4, 3, 2, 50, 0.2
@@ -118,5 +118,17 @@ def corrections(words: Sequence[str], known: Sequence[str], languages: Sequence[
     return pick_corrections([(r["typed"], r["word"], r["distance"], r["alike"]) for r in rows])
 
 
+def similar_titles(docs: DataFrame, text: str, least: float) -> DataFrame:
+    """docs whose title has an extent at least so alike to the text, with ``alike``.
+
+    An extent can share no more of the text's trigrams than the whole title does, so titles that share too few
+    are left out in the JVM, before any meets the function.
+    """
+    want = sorted(trigrams_text(text))
+    shared = F.size(F.array_intersect(trigrams(F.col("title_search")), F.array(*map(F.lit, want)).cast("array<string>")))
+    near = docs.where(shared >= least * len(want) - 1e-9) if want else docs.where(F.lit(False))
+    return near.withColumn("alike", word_similarity(F.lit(text), F.col("title_search"))).where(F.col("alike") >= least)
+
+
 def folded(df: DataFrame, column: str = "word") -> DataFrame:
     return df.withColumn("folded", fold(F.col(column)))

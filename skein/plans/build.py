@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from skein.access import document_tokens_column
@@ -15,6 +16,8 @@ from skein.settings import CONTENT_LIMIT, Settings
 from skein.sources.extract import cut_bytes, extracted
 
 TAGS_CAP, MAX_POSITION, MAX_POSITIONS = 65_536, 16_383, 255
+#: In JSON text; after an odd number of backslashes only.
+ESCAPED_NUL = r"(?<!\\)((?:\\\\)*)\\u0000"
 
 
 def strings(column: str) -> Column:
@@ -60,6 +63,8 @@ def index_rows(incoming: DataFrame, settings: Settings, now: int) -> DataFrame:
     """
     cap = settings.max_content_size or CONTENT_LIMIT
     status = F.coalesce("status", F.lit(FULL))
+    if isinstance(incoming.schema["subtags"].dataType, ArrayType):
+        incoming = incoming.withColumn("subtags", sub_tags_of_list("subtags"))
     every = (status.bitwiseAND(F.lit(META | CONTENT | PARTS | 1))) == 0
     df = incoming.withColumns({
         "new_content": every | (status.bitwiseAND(F.lit(CONTENT)) != 0),
@@ -74,7 +79,7 @@ def index_rows(incoming: DataFrame, settings: Settings, now: int) -> DataFrame:
         "modified_time": F.coalesce("modified_time", F.lit(0)).cast("long"),
         "indexed_at": F.lit(now).cast("long"),
         "parts": cap_parts(F.transform_values(F.coalesce("parts", F.create_map().cast("map<string,string>")), lambda k, v: T.squeeze(F.translate(F.coalesce(v, F.lit("")), "\0", " "))), cap),
-        "info": F.translate(F.coalesce("info", F.lit("{}")), "\0", ""),
+        "info": F.regexp_replace(F.translate(F.coalesce("info", F.lit("{}")), "\0", ""), ESCAPED_NUL, "$1"),
     })
     df = df.withColumns({
         "subtags": flat_sub_tags("subtags_map"),

@@ -16,7 +16,6 @@ from skein.access import Access, viewer_tokens
 from skein.functions.analyzer import stop_words
 from skein.functions import text as T
 from skein.functions.text import lower_text
-from skein.functions.trigram import word_similarity
 from skein.model import DOCUMENT, POSTING, SURFACE, WORD, SearchRequest, SearchResult
 from skein.operators import expand, filters
 from skein.operators.excerpt import excerpts, preview
@@ -24,7 +23,7 @@ from skein.operators.language import detect
 from skein.operators.match import Compiled, candidates, frequencies, ranked
 from skein.operators.query import Query, parse
 from skein.plans import build
-from skein.plans.store import Conflict, Snapshot, Store
+from skein.plans.store import Conflict, Incomplete, Outdated, Snapshot, Store
 from skein.settings import Settings
 
 TITLE_SIMILARITY = 0.6
@@ -51,7 +50,7 @@ class Engine:
     # -- administration
 
     def initialize(self) -> None:
-        """Create what is missing; build derived tables anew if they are of another version."""
+        """Create what is missing; build derived tables anew if they are of another version or one of them is gone."""
         if not self.store.exists():
             places = self.store.add({n: self.spark.createDataFrame([], s) for n, s in _SCHEMAS.items()})
             try:
@@ -61,12 +60,14 @@ class Engine:
             return
         try:
             self.store.check()
-        except RuntimeError:
+        except (Outdated, Incomplete):
+            if not self.store.present()["docs"]:
+                raise  # all else derives from the documents
             old = Snapshot(self.store, self.store.meta())
             self._write(old, old.table("docs"), old.meta.get("max_id", 0))
 
     def load(self) -> None:
-        """Make sure the index can be used: create it if absent, refuse one of another version."""
+        """Make sure the index can be used: create it if absent, refuse one of another version or with a table gone."""
         self.store.check() if self.store.exists() else self.initialize()
 
     def test(self) -> bool:
@@ -101,6 +102,7 @@ class Engine:
             "by_language": tried(lambda: {r["config"]: r["count"] for r in self.documents_by_language().collect()}),
             "words": tried(lambda: self.store.table("words").count()),
             "schema": tried(lambda: self.store.meta()["schema"]),
+            "tables": tried(self.store.present),
             "trigram": self.settings.use_trigram,
             "typo_correction": self.settings.typo_correction,
         }
@@ -340,10 +342,16 @@ class Engine:
         """Titles with an extent like the typed words; not for stop words alone."""
         if not text or all(any(w in stop_words(x) for x in self.settings.languages) for w in text.split()):
             return SearchResult()
-        close = visible.withColumn("rank", word_similarity(F.lit(text), F.col("title_search"))).where(F.col("rank") >= TITLE_SIMILARITY)
-        total = close.count()
-        page = close.orderBy(F.desc("rank"), F.desc("modified_time"), "id").offset(offset).limit(size)
-        rows = [r.asDict(recursive=True) for r in page.select("id", "provider_id", "document_id", "title", "source", "hash", "modified_time", "rank", preview(F.col("content")).alias("excerpts")).collect()]
+        close = expand.similar_titles(visible, text, TITLE_SIMILARITY).select("id", "modified_time", "alike").persist()
+        try:
+            total = close.count()
+            best = close.orderBy(F.desc("alike"), F.desc("modified_time"), "id").offset(offset).limit(size).collect()
+        finally:
+            close.unpersist()
+        order = {r["id"]: (n, r["alike"]) for n, r in enumerate(best)}
+        page = visible.where(F.col("id").isin(list(order))).select("id", "provider_id", "document_id", "title", "source", "hash", "modified_time", preview(F.col("content")).alias("excerpts"))
+        rows = [{**r.asDict(recursive=True), "rank": order[r["id"]][1]} for r in page.collect()] if order else []
+        rows.sort(key=lambda r: order[r["id"]][0])
         return self._shaped(rows, total, {})
 
     @staticmethod

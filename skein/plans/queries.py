@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from skein.access import Access, viewer_tokens
 from skein.functions import text as T
-from skein.functions.trigram import similarity, trigrams, word_similarity
+from skein.functions.trigram import similarity, trigrams
 from skein.model import BOOL, INT_GT, KEYWORD, TEXT, SearchRequest, SimpleQuery
 from skein.operators import expand, filters
 from skein.operators.excerpt import excerpts
@@ -324,8 +324,7 @@ n AS (SELECT p_partkey, len(list_intersect(s, want)) AS k, len(want) + len(s) AS
 SELECT CAST(p_partkey AS VARCHAR) AS document_id, round(max(k / (n - k)), 6) AS alike FROM n GROUP BY p_partkey HAVING max(k / (n - k)) >= 0.6""")
 def title_similarity_fallback(spark, sf_dir):
     """Best extent of a title's trigrams."""
-    close = corpus.parts(spark, sf_dir).withColumn("alike", word_similarity(F.lit("blue bolts"), F.col("title_search")))
-    return close.where(F.col("alike") >= 0.6).select("document_id", F.round("alike", 6).alias("alike"))
+    return expand.similar_titles(corpus.parts(spark, sf_dir), "blue bolts", 0.6).select("document_id", F.round("alike", 6).alias("alike")).orderBy(F.desc("alike"), "document_id")
 
 
 # -- languages

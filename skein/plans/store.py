@@ -19,6 +19,10 @@ class Outdated(RuntimeError):
     """The folder was written by another version; initialize() rebuilds it."""
 
 
+class Incomplete(RuntimeError):
+    """A table of the current state is gone; initialize() builds it anew from the documents."""
+
+
 class Conflict(RuntimeError):
     """Another writer has changed the index since this one read it."""
 
@@ -60,14 +64,27 @@ class Store:
         finally:
             stream.close()
 
-    def check(self) -> dict:
+    def present(self) -> dict[str, bool]:
+        """Whether each table that the current state should have is there."""
+        places = self.meta()["tables"]
+        return {n: n in places and self._fs.exists(self._path(f"{self.path}/{places[n]}")) for n in TABLES}
+
+    def _current(self) -> dict:
         meta = self.meta()
         if meta["schema"] != SCHEMA_VERSION:
             raise Outdated(f"schema {meta['schema']}, this version writes {SCHEMA_VERSION}")
         return meta
 
+    def check(self) -> dict:
+        """The current state, if it is of this version and all its tables are there."""
+        meta = self._current()
+        gone = [n for n, there in self.present().items() if not there]
+        if gone:
+            raise Incomplete(f"{self.path} has lost {', '.join(gone)}")
+        return meta
+
     def snapshot(self) -> Snapshot:
-        return Snapshot(self, self.check())
+        return Snapshot(self, self._current())
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")

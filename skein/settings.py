@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
+from functools import cache
 
 from skein.functions.analyzer import LANGUAGES
 
@@ -18,6 +20,11 @@ class SettingError(ValueError):
     pass
 
 
+@cache
+def _left_out(names: tuple[str, ...]) -> None:
+    logging.getLogger("skein").warning("no analyzer for %s", ", ".join(names))
+
+
 def _boolean(name: str, value: object) -> bool:
     text = str(value).strip().lower()
     if text in _TRUE:
@@ -58,7 +65,11 @@ class Settings:
 
     @property
     def languages(self) -> list[str]:
-        known = [x for x in parse_languages(self.language) if x in LANGUAGES]
+        """Those that there is an analyzer for; the others are named in the log, once."""
+        names = parse_languages(self.language)
+        known = [x for x in names if x in LANGUAGES]
+        if len(known) < len(names):
+            _left_out(tuple(x for x in names if x not in LANGUAGES))
         return known or ["simple"]
 
     def changed(self, values: Mapping[str, object]) -> tuple[Settings, bool]:

@@ -1,10 +1,18 @@
+import logging
+import random
+import shutil
+
 import pytest
-from helpers import ME, doc, frame, ids
+from helpers import FIELDS, ME, doc, frame, ids
+from pyspark.sql import functions as F
 
 from skein.access import Access
-from skein.model import CONTENT, META, OK, SearchRequest, SimpleQuery
+from skein.functions.trigram import word_similarity_text
+from skein.model import CONTENT, INCOMING, META, OK, SearchRequest, SimpleQuery
+from skein.operators.expand import similar_titles
+from skein.plans import build
 from skein.plans.engine import Engine, NotFound, with_settings
-from skein.plans.store import Conflict
+from skein.plans.store import Conflict, Incomplete
 from skein.settings import Settings
 
 DOCS = [
@@ -274,3 +282,49 @@ def test_a_write_that_dies(spark, tmp_path):
     e.store.add = add
     e.index(frame(spark, [doc("a", "", "avocado")]), now=3)
     assert ids(e, "avocado") == ["a"] and held.table("docs").first()["content"] == "apple"
+
+
+@pytest.mark.parametrize("name", ["postings", "surface", "words"])
+def test_a_lost_table_is_built_anew(spark, tmp_path, name):
+    e = Engine(spark, str(tmp_path / "i"))
+    e.index(frame(spark, [doc("a", "red title", "apple"), doc("b", "", "banana")]), now=1)
+    shutil.rmtree(tmp_path / "i" / e.store.meta()["tables"][name])
+    assert [n for n, there in e.status()["tables"].items() if not there] == [name] and e.status()["documents"] == 2
+    with pytest.raises(Incomplete):
+        e.load()
+    e.initialize()
+    assert all(e.status()["tables"].values()) and ids(e, "apple") == ["a"] and ids(e, "aplle") == ["a"]
+
+
+def test_lost_documents_are_no_empty_index(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "i"))
+    e.index(frame(spark, [doc("a", "", "apple")]), now=1)
+    shutil.rmtree(tmp_path / "i" / e.store.meta()["tables"]["docs"])
+    with pytest.raises(Incomplete):
+        e.initialize()
+
+
+def test_info_and_listed_sub_tags(spark):
+    raw = [r'{"a\u0000b": "c\u0000\u0000d"}', r'{"a": "back\\u0000"}', r'{"a": "\\\u0000x"}', "{\0}", None]
+    rows = spark.createDataFrame([tuple((doc(str(i)) | {"info": x})[f] for f in FIELDS) for i, x in enumerate(raw)], INCOMING)
+    rows = rows.withColumn("subtags", F.array(F.lit("mail_in_box"), F.lit("mail_sent"), F.lit("mail_sent"), F.lit("_x"), F.lit("none"), F.lit(None)))
+    got = sorted(build.index_rows(rows, Settings(language="simple"), 0).select("document_id", "info", "subtags_map", "subtags").collect())
+    assert [r["info"] for r in got] == ['{"ab": "cd"}', r'{"a": "back\\u0000"}', r'{"a": "\\x"}', "{}", "{}"]
+    assert all(r["subtags_map"] == {"mail": ["in_box", "sent"]} and r["subtags"] == ["mail_in_box", "mail_sent"] for r in got)
+
+
+def test_similar_titles_are_all_found(spark):
+    """The filter before the distance function leaves out no title that it would keep."""
+    rng = random.Random(3)
+    titles = [" ".join("".join(rng.choice("abcé1") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 4))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(titles)), "id long, title_search string")
+    for text in (*titles[:6], "abc", "é1 ab", ""):
+        for least in (0.3, 0.6, 1.0):
+            want = {(i, round(x, 9)) for i, t in enumerate(titles) if text and (x := word_similarity_text(text, t)) >= least}
+            assert {(r["id"], round(r["alike"], 9)) for r in similar_titles(docs, text, least).collect()} == want
+
+
+def test_unknown_languages_are_named(caplog):
+    with caplog.at_level(logging.WARNING):
+        assert Settings(language="german,klingon").languages == ["german"] and Settings(language="volapük").languages == ["simple"]
+    assert "klingon" in caplog.text and "volapük" in caplog.text
