@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from skein.llm.common import checkpoint, mix, shingle_sets, table, text_chunks,
 _U = np.uint64
 #: Longs of a set's bitmap signature.
 LANES = 8
-#: Most bits of the flags "in two sets or more" over all shingles, 64 MB.
-MAX_FLAG_BITS = 29
+#: Most cells of the sketch over all shingles, 32 MB of flags "in two sets or more" and 32 MB of levels; most bits of flags over the sets' rarest shingles, 64 MB.
+MAX_ORDER_BITS, MAX_FLAG_BITS = 28, 29
 #: Sets of a tile that are compared in one task with as many others.
 BLOCK = 256
 
@@ -47,11 +48,14 @@ def _lanes(grams: np.ndarray) -> list[int]:
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, size, key1, key2, tokens, lanes): of each text its set's size, a 128-bit digest of its words, those of
-    its shingles that may stand in other sets, and its bitmap.
-
-    A set of which so many shingles stand nowhere else that it can't link has no tokens. Flags are never
-    too low, so no shared shingle is taken for a single one.
+    """(doc_id, size, key1, key2, single, tokens, lanes): of each text its set's size, a 128-bit digest of its words, the
+    number of its shingles known to stand in no other set, those of its prefix after them, and its bitmap.
+
+    The prefix is so many of a set's rarest shingles that linked sets have one in common. The order is the same for
+    every set: single shingles, then by the level of the merged sketch, then by hash. However full the sketch
+    is, a prefix is no longer than that, and as any order loses no link, only more sets share a shingle. A set
+    of which so many shingles stand nowhere else that it can't link has no tokens. Flags are never too low, so
+    no shared shingle is taken for a single one.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -61,48 +65,71 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             yield from sets
 
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch.bits_for(n_bytes / 4, 4, 16, MAX_FLAG_BITS)
-    shared = spark.sparkContext.broadcast(sketch.build(docs.select("text"), shingles, 1, bits, 2, partitions))
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("tokens", pa.list_(pa.int64())), ("lanes", pa.list_(pa.int64()))])
+    bits = sketch.bits_for(n_bytes / 4, 4, 16, MAX_ORDER_BITS)
+    order = spark.sparkContext.broadcast(sketch.build_order(docs.select("text"), shingles, bits, partitions))
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("single", pa.int64()), ("tokens", pa.list_(pa.int64())), ("lanes", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, levels = order.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for low, words, first, sets in _sets(batch, n):
-                again = sketch.flagged(shared.value, np.concatenate(sets))
+                again = sketch.flagged(flags, np.concatenate(sets))
                 out, at = [], 0
                 for r, grams in enumerate(sets):
-                    flags = again[at : at + len(grams)]
+                    shared = grams[again[at : at + len(grams)]]
                     at += len(grams)
-                    tokens = grams[flags] if len(grams) - int(flags.sum()) <= len(grams) - _least_overlap(len(grams), num, den) else grams[:0]
+                    single = len(grams) - len(shared)
+                    places = len(grams) - _least_overlap(len(grams), num, den) + 1 - single
+                    tokens = shared[np.argsort(sketch.level(levels, shared), kind="stable")[:places]] if places > 0 else shared[:0]
                     key = hashlib.blake2b(b" ".join(words[first[r] : first[r + 1]]), digest_size=16).digest()
                     key1, key2 = np.frombuffer(key, np.int64).tolist()
-                    out.append({"doc_id": ids[low + r], "size": len(grams), "key1": key1, "key2": key2, "tokens": tokens.view(np.int64).tolist(), "lanes": _lanes(grams) if len(tokens) else None})
+                    out.append({"doc_id": ids[low + r], "size": len(grams), "key1": key1, "key2": key2, "single": single, "tokens": tokens.view(np.int64).tolist(), "lanes": _lanes(grams) if len(tokens) else None})
                     if len(out) == 1000:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out = []
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
-    return docs.mapInArrow(sign, "doc_id long, size long, key1 long, key2 long, tokens array<long>, lanes array<long>")
+    return docs.mapInArrow(sign, "doc_id long, size long, key1 long, key2 long, single long, tokens array<long>, lanes array<long>")
 
 
-def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sets with tokens replaced by prefix, structs (token, pos): of a set's rarest shingles, so many that linked sets
-    have one in common, those that other sets have; pos is a shingle's place in the order of rarity.
+def _flags(tokens: DataFrame, top: int) -> np.ndarray:
+    """Bits that say which tokens, longs or arrays of them in the only column, come up ``top`` times or more; never too low."""
+    kind = tokens.dtypes[0][1]
+    total = tokens.agg(F.count("*") if kind == "bigint" else F.sum(F.size(tokens.columns[0]))).first()[0] or 0
 
-    The order is the same for every set: exact number of the sets that have the shingle, then its hash. A
-    count of one is not told apart from other single shingles: those come first and take places only.
-    """
-    key = ["doc_id", "key1", "key2"]
-    tokens = sets.select(*key, "size", F.explode("tokens").alias("token"))
-    counts = checkpoint(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"))  # a plain input: the join can deal out anew what a hot shingle has
-    ranked = tokens.join(counts, "token").groupBy(*key).agg(F.any_value("size").alias("size"), F.array_sort(F.collect_list(F.struct("times", "token"))).alias("order"))  # of one text
-    single = F.col("size") - F.size("order")
-    places = F.col("size") - F.ceil(F.col("size") * num / den) + 1
-    taken = F.slice("order", F.lit(1), F.greatest(F.lit(0), places - single).cast("int"))
-    prefix = ranked.select(*key, F.transform(taken, lambda x, i: F.struct(x["token"].alias("token"), (single + i).alias("pos"))).alias("prefix")).where(F.size("prefix") > 0)
-    return sets.drop("tokens").join(prefix, key)
+    def items(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        column = batch.column(0)
+        yield (column if kind == "bigint" else column.flatten()).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+
+    return sketch.build(tokens, items, 1, sketch.bits_for(total, 8, 16, MAX_FLAG_BITS), top, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _thinned(sets: DataFrame, flags: np.ndarray) -> DataFrame:
+    """sets with those of their tokens, and the places beside them, that have their bit set; sets left with none go."""
+    wanted = sets.sparkSession.sparkContext.broadcast(flags)
+    names = sets.columns
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            values = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            keep = sketch.flagged(wanted.value, values.view(_U))
+            ends = np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+            offsets = pa.array(np.r_[0, np.r_[0, np.cumsum(keep)][ends]], pa.int32())
+            out = {name: batch.column(name) for name in names}
+            out["tokens"] = pa.ListArray.from_arrays(offsets, pa.array(values[keep]))
+            out["places"] = pa.ListArray.from_arrays(offsets, batch.column("places").flatten().filter(pa.array(keep)))
+            yield pa.record_batch(out).filter(pa.array(np.diff(offsets.to_numpy()) > 0))
+
+    return sets.mapInArrow(thin, ", ".join(f"{name} {kind}" for name, kind in sets.dtypes))
+
+
+def _exploded(sets: DataFrame, *columns: str) -> DataFrame:
+    """A row for each token of sets, with its place in the order as pos."""
+    both = F.explode(F.arrays_zip("tokens", "places")).alias("p")
+    return sets.select(*columns, both).select(*columns, F.col("p.tokens").alias("token"), F.col("p.places").alias("pos"))
 
 
 def _bound(size_a: Column, size_b: Column, lanes_a: list[Column], lanes_b: list[Column], num: int, den: int) -> Column:
@@ -239,7 +266,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     union; component_id is the least doc_id reachable by links. No link between different texts is missed:
 
     1. Texts of the same words are one set, held by the least doc_id that has it.
-    2. Linked sets share one of their rarest shingles, in an order by exact counts (prefix filter). All sets
+    2. Linked sets share one of their rarest shingles, in one order for all sets (prefix filter). All sets
        with a shingle in their prefix are a tile. Each is compared with the tile's least set, which gives as
        many pairs as rows.
     3. Components of these links. In a tile that still has several, sets of different components are
@@ -259,14 +286,18 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     several = rows.groupBy("doc_id").agg(F.min(F.struct("key1", "key2")).alias("k0"), F.max(F.struct("key1", "key2")).alias("k1")).where("k0 <> k1").select("doc_id")
     same_id = rows.select("doc_id", "key1", "key2").join(several, "doc_id").join(holders, ["key1", "key2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
+    # Shingles that stand in one prefix only make no tile.
+    marked = rows.where("size(tokens) > 0").withColumn("places", F.transform("tokens", lambda _, i: F.col("single") + i)).drop("single")
+    marked = _thinned(marked, _flags(marked.select("tokens"), 2))
     # One row for each set; a doc_id with several texts brings several.
-    least = rows.where("size(tokens) > 0").groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "size", "lanes", "tokens")).alias("s"))
-    sets = _prefixes(checkpoint(least.select("key1", "key2", "s.*"), small=True), num, den)
-    sets = checkpoint(sets.select("doc_id", "size", band.alias("band"), "prefix", *[F.col("lanes")[i].alias(f"l{i}") for i in range(LANES)]), small=True)
+    sets = marked.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "size", "lanes", "tokens", "places")).alias("s")).select("s.*")
+    sets = checkpoint(sets.select("doc_id", "size", band.alias("band"), "tokens", "places", *[F.col("lanes")[i].alias(f"l{i}") for i in range(LANES)]), small=True)
     lanes = [f"l{i}" for i in range(LANES)]
-    tokens = sets.select("doc_id", "size", F.explode("prefix").alias("p")).select("doc_id", "size", "p.token", "p.pos")
+    tokens = _exploded(sets, "doc_id", "size")
     tiles = tokens.groupBy("token").agg(F.min(F.struct("doc_id", "size", "pos")).alias("first"), F.max("doc_id").alias("most")).where("first.doc_id < most").select("token", "first")
     tiles = checkpoint(tiles, small=True)  # a plain input of the join, which can then deal out anew what belongs to a very common shingle
+    tiled = _thinned(sets, _flags(tiles.select("token"), 1))
+    tokens = _exploded(tiled, "doc_id", "size")
     met = tokens.withColumnRenamed("doc_id", "b").join(tiles, "token").where((F.col("first.doc_id") < F.col("b")) & _reachable(F.col("first.size"), F.col("size"), F.col("first.pos"), F.col("pos"), num, den))
     stars = met.select(F.col("first.doc_id").alias("a"), "b").distinct()
 
@@ -281,11 +312,11 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     first = checkpoint(_verified(pairs, docs, n, num, den).union(same_id), small=True)
     so_far = components(first)
     # Tiles whose sets are not yet of one component.
-    known = sets.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    members = known.select("doc_id", "component", "size", "band", *lanes, F.explode("prefix").alias("p")).select("*", "p.token", "p.pos").drop("p")
-    slim = known.select("component", F.explode("prefix.token").alias("token"))
-    open_ = slim.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(checkpoint(open_, small=True), "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    known = tiled.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    slim = known.select("component", F.explode("tokens").alias("token"))
+    open_ = checkpoint(slim.groupBy("token").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("token", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), small=True)
+    members = _exploded(_thinned(known, _flags(open_.select("token"), 1)), "doc_id", "component", "size", "band", *lanes)
+    members = members.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A set meets each block of its tile once: the pair of blocks (i, j), i <= j, is a key of its own.
     cut = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})

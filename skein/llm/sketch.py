@@ -67,12 +67,8 @@ def _add(total: np.ndarray, step: int, cell: bytes, width: int, n: bytes, top: i
     total[at] = np.minimum(total[at].astype(np.int64) + more, top)
 
 
-def build(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], depth: int, bits: int, top: int, partitions: int) -> np.ndarray:
-    """The merged sketch of the items that ``items_of`` finds in the batches of df, counts held at ``top``.
-
-    With top == 2 it is an array (depth, 2**bits / 8) of bits that say "at least two"; with top == 1, "at
-    least one"; else an array (depth, 2**bits) of uint32 counts.
-    """
+def _collected(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], depth: int, bits: int, top: int, partitions: int, payload: Callable[[np.ndarray], bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(row, shard, what payload makes of the shard's merged counts), counts held at ``top``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -87,27 +83,58 @@ def build(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarra
             yield from _pieces(np.concatenate(held), depth, bits, top)
 
     shard_bits = min(SHARD_BITS, bits)
-    packed = top <= 2
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for name, step, cell, width, n in zip(*[batch.column(c).to_pylist() for c in ("shard", "step", "cell", "width", "n")], strict=True):
-                _add(sums.setdefault(name, np.zeros(1 << shard_bits, np.uint8 if packed else np.uint32)), step, cell, width, n, top)
+                _add(sums.setdefault(name, np.zeros(1 << shard_bits, np.uint8 if top <= 2 else np.uint32)), step, cell, width, n, top)
         for name, total in sums.items():
-            payload = np.packbits(total >= top) if packed else total
-            yield pa.record_batch({"shard": pa.array([name], pa.int64()), "cells": pa.array([payload.tobytes()], pa.binary())})
+            yield pa.record_batch({"shard": pa.array([name], pa.int64()), "cells": pa.array([payload(total)], pa.binary())})
 
     pieces = df.mapInArrow(count, "shard long, step int, cell binary, width int, n binary")
     merged = pieces.repartition(partitions, "shard").mapInArrow(merge, "shard long, cells binary")
-    out = np.zeros((depth, (1 << bits) // 8), np.uint8) if packed else np.zeros((depth, 1 << bits), np.uint32)
-    per = (1 << shard_bits) // 8 if packed else 1 << shard_bits
     for row in merged.collect():  # at most depth * 2**bits cells in all
-        level, shard = row["shard"] >> 32, row["shard"] & 0xFFFFFFFF
-        out[level, shard * per : (shard + 1) * per] = np.frombuffer(row["cells"], out.dtype)
+        yield row["shard"] >> 32, row["shard"] & 0xFFFFFFFF, row["cells"]
+
+
+def build(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], depth: int, bits: int, top: int, partitions: int) -> np.ndarray:
+    """The merged sketch of the items that ``items_of`` finds in the batches of df, counts held at ``top``.
+
+    With top == 2 it is an array (depth, 2**bits / 8) of bits that say "at least two"; with top == 1, "at
+    least one"; else an array (depth, 2**bits) of uint32 counts.
+    """
+    packed = top <= 2
+    out = np.zeros((depth, (1 << bits) // 8), np.uint8) if packed else np.zeros((depth, 1 << bits), np.uint32)
+    per = out.shape[1] >> max(0, bits - SHARD_BITS)
+    for row, shard, cells_ in _collected(df, items_of, depth, bits, top, partitions, lambda total: (np.packbits(total >= top) if packed else total).tobytes()):
+        out[row, shard * per : (shard + 1) * per] = np.frombuffer(cells_, out.dtype)
     return out
 
 
+def build_order(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, partitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits that say "at least two" as of build(), levels): a level is 8 * log2 of the largest count among eight neighbouring cells.
+
+    Both take 2**bits / 8 bytes, and are of one sketch, counted once.
+    """
+    flags, levels = np.zeros((1, (1 << bits) // 8), np.uint8), np.zeros((1 << bits) // 8, np.uint8)
+    per = len(levels) >> max(0, bits - SHARD_BITS)
+
+    def payload(total: np.ndarray) -> bytes:
+        most = np.maximum(1, total.reshape(-1, 8).max(axis=1))
+        return np.packbits(total >= 2).tobytes() + np.minimum(255, np.round(8 * np.log2(most))).astype(np.uint8).tobytes()
+
+    for _, shard, both in _collected(df, items_of, 1, bits, (1 << 32) - 1, partitions, payload):
+        own = slice(shard * per, (shard + 1) * per)
+        flags[0, own], levels[own] = np.frombuffer(both, np.uint8).reshape(2, per)
+    return flags, levels
+
+
+def level(levels: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """The level of each item by build_order()."""
+    return levels[cells(items, 0, int(len(levels) * 8).bit_length() - 1) >> 3]
+
+
 def flagged(bitmap: np.ndarray, items: np.ndarray) -> np.ndarray:
     """Which items have their bit set in every row."""
     bits = int(bitmap.shape[1] * 8).bit_length() - 1

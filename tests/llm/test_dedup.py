@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from skein.llm import ngram_join
 from skein.llm.line_dedup import dedup_lines, with_chunks
 from skein.llm.ngram_join import components, keep_one, ngram_jaccard
 from skein.llm.substring_dedup import substring_dedup
@@ -70,6 +71,15 @@ def test_ngram_join(docs, corpus, n, num):
     assert Counter(map(tuple, ngram_jaccard(docs, n, num, 100).collect())) == brute_classes(corpus, n, num, 100)
 
 
+def test_ngram_join_with_full_flags(docs, corpus, monkeypatch):
+    """Flags far too small take all shingles for shared ones: no more than prefixes leave the texts, and no link is lost."""
+    for name in ("MAX_FLAG_BITS", "MAX_ORDER_BITS"):
+        monkeypatch.setattr(ngram_join, name, 4, raising=False)
+    signed = ngram_join._signatures(docs.select("doc_id", "text"), 4, 85, 100).collect()
+    assert all(len(r["tokens"]) <= r["size"] - -(-r["size"] * 85 // 100) + 1 for r in signed)
+    assert Counter(map(tuple, ngram_jaccard(docs, 4, 85, 100).collect())) == brute_classes(corpus, 4, 85, 100)
+
+
 def test_ngram_chain(spark):
     """A chain of texts, each like the next only, is one class; a hot group costs no pairs."""
     ws = [f"t{i}" for i in range(300)]
