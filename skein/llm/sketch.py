@@ -18,8 +18,8 @@ from skein.llm.common import mix
 
 _U = np.uint64
 SHARD_BITS = 17
-#: Items held in a partition before their cells are sent on.
-FLUSH = 2_000_000
+#: Items held in a partition before their cells are sent on; fewer for an order, as its sketch is made beside the largest batches of text.
+FLUSH, ORDER_FLUSH = 2_000_000, 500_000
 
 
 def cells(items: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -67,20 +67,22 @@ def _add(total: np.ndarray, step: int, cell: bytes, width: int, n: bytes, top: i
     total[at] = np.minimum(total[at].astype(np.int64) + more, top)
 
 
-def _collected(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], depth: int, bits: int, top: int, partitions: int, payload: Callable[[np.ndarray], bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """(row, shard, what payload makes of the shard's merged counts), counts held at ``top``."""
+def _counted(batches: Iterator[pa.RecordBatch], items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], depth: int, bits: int, top: int, flush: int) -> Iterator[pa.RecordBatch]:
+    """Cells of the items in a partition's batches, sent on for each ``flush`` items."""
+    held, size = [], 0
+    for batch in batches:
+        for items in items_of(batch):
+            held.append(items)
+            size += len(items)
+            if size >= flush:
+                yield from _pieces(np.concatenate(held), depth, bits, top)
+                held, size = [], 0
+    if size:
+        yield from _pieces(np.concatenate(held), depth, bits, top)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for items in items_of(batch):
-                held.append(items)
-                size += len(items)
-                if size >= FLUSH:
-                    yield from _pieces(np.concatenate(held), depth, bits, top)
-                    held, size = [], 0
-        if size:
-            yield from _pieces(np.concatenate(held), depth, bits, top)
+
+def _collected(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], depth: int, bits: int, top: int, partitions: int, payload: Callable[[np.ndarray], bytes], flush: int = FLUSH) -> Iterator[tuple[int, int, bytes]]:
+    """(row, shard, what payload makes of the shard's merged counts), counts held at ``top``."""
 
     shard_bits = min(SHARD_BITS, bits)
 
@@ -92,7 +94,7 @@ def _collected(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.n
         for name, total in sums.items():
             yield pa.record_batch({"shard": pa.array([name], pa.int64()), "cells": pa.array([payload(total)], pa.binary())})
 
-    pieces = df.mapInArrow(count, "shard long, step int, cell binary, width int, n binary")
+    pieces = df.mapInArrow(lambda batches: _counted(batches, items_of, depth, bits, top, flush), "shard long, step int, cell binary, width int, n binary")
     merged = pieces.repartition(partitions, "shard").mapInArrow(merge, "shard long, cells binary")
     for row in merged.collect():  # at most depth * 2**bits cells in all
         yield row["shard"] >> 32, row["shard"] & 0xFFFFFFFF, row["cells"]
@@ -124,7 +126,7 @@ def build_order(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.
         most = np.maximum(1, total.reshape(-1, 8).max(axis=1))
         return np.packbits(total >= 2).tobytes() + np.minimum(255, np.round(8 * np.log2(most))).astype(np.uint8).tobytes()
 
-    for _, shard, both in _collected(df, items_of, 1, bits, (1 << 32) - 1, partitions, payload):
+    for _, shard, both in _collected(df, items_of, 1, bits, (1 << 32) - 1, partitions, payload, ORDER_FLUSH):
         own = slice(shard * per, (shard + 1) * per)
         flags[0, own], levels[own] = np.frombuffer(both, np.uint8).reshape(2, per)
     return flags, levels

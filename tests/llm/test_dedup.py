@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from skein.llm import ngram_join
+from skein.llm import ngram_join, sketch
 from skein.llm.line_dedup import dedup_lines, with_chunks
 from skein.llm.ngram_join import components, keep_one, ngram_jaccard
 from skein.llm.substring_dedup import substring_dedup
@@ -80,6 +82,17 @@ def test_ngram_join_with_full_flags(docs, corpus, monkeypatch):
     assert Counter(map(tuple, ngram_jaccard(docs, 4, 85, 100).collect())) == brute_classes(corpus, 4, 85, 100)
 
 
+def test_order_in_little_memory():
+    """A partition's items for the order are counted in less room than 60 MB beside them."""
+    items = np.random.default_rng(1).integers(0, 1 << 63, 5_000_000).astype(np.uint64)
+    tracemalloc.start()
+    for _ in sketch._counted(iter([None]), lambda _: (items[i : i + 50_000] for i in range(0, len(items), 50_000)), 1, 28, (1 << 32) - 1, sketch.ORDER_FLUSH):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6, most
+
+
 def test_ngram_chain(spark):
     """A chain of texts, each like the next only, is one class; a hot group costs no pairs."""
     ws = [f"t{i}" for i in range(300)]
