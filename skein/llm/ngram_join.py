@@ -48,7 +48,7 @@ def _lanes(grams: np.ndarray) -> list[int]:
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, size, key1, key2, single, tokens, lanes): of each text its set's size, a 128-bit digest of its words, the
+    """(doc_id, size, key1, key2, single, tokens, lanes), checkpointed: of each text its set's size, a 128-bit digest of its words, the
     number of its shingles known to stand in no other set, those of its prefix after them, and its bitmap.
 
     The prefix is so many of a set's rarest shingles that linked sets have one in common. The order is the same for
@@ -91,7 +91,9 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
-    return docs.mapInArrow(sign, "doc_id long, size long, key1 long, key2 long, single long, tokens array<long>, lanes array<long>")
+    signed = checkpoint(docs.mapInArrow(sign, "doc_id long, size long, key1 long, key2 long, single long, tokens array<long>, lanes array<long>"))
+    order.destroy()  # the checkpoint is written; else the driver keeps a copy until it happens to collect its garbage
+    return signed
 
 
 def _flags(tokens: DataFrame, top: int) -> np.ndarray:
@@ -280,7 +282,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_rows = checkpoint(_signatures(docs, n, num, den))
+    all_rows = _signatures(docs, n, num, den)
     rows = all_rows.where("doc_id IS NOT NULL AND size > 0")
     holders = rows.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
     several = rows.groupBy("doc_id").agg(F.min(F.struct("key1", "key2")).alias("k0"), F.max(F.struct("key1", "key2")).alias("k1")).where("k0 <> k1").select("doc_id")

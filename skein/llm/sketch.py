@@ -3,7 +3,7 @@
 Every partition counts its own items and sends only the cells it touched. Merging adds them up, so a
 cell never holds less than the count of any item in it: estimates are too high or right, never too low.
 The merged sketch has ``depth * width`` cells whatever the size of the corpus; that product bounds what is
-sent to the driver and broadcast.
+sent to the driver, in pieces, and broadcast.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
-from skein.llm.common import mix
+from skein.llm.common import checkpoint, mix
 
 _U = np.uint64
 SHARD_BITS = 17
 #: Items held in a partition before their cells are sent on; fewer for an order, as its sketch is made beside the largest batches of text.
 FLUSH, ORDER_FLUSH = 2_000_000, 500_000
+#: About the most bytes of a merged sketch that the driver receives at once, beside the sketch itself.
+PIECE = 4 << 20
 
 
 def cells(items: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -81,8 +83,16 @@ def _counted(batches: Iterator[pa.RecordBatch], items_of: Callable[[pa.RecordBat
         yield from _pieces(np.concatenate(held), depth, bits, top)
 
 
-def _collected(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], depth: int, bits: int, top: int, partitions: int, payload: Callable[[np.ndarray], bytes], flush: int = FLUSH) -> Iterator[tuple[int, int, bytes]]:
-    """(row, shard, what payload makes of the shard's merged counts), counts held at ``top``."""
+def _received(merged: DataFrame, most: int) -> Iterator[Row]:
+    """The rows of merged, ``most`` bytes at most: those of a large sketch a few partitions at a time, as the driver would hold them several times over."""
+    if most <= PIECE:
+        yield from merged.collect()
+    else:
+        yield from checkpoint(merged, small=True).coalesce(-(-most // PIECE)).toLocalIterator()
+
+
+def _collected(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], depth: int, bits: int, top: int, partitions: int, payload: Callable[[np.ndarray], bytes], most: int, flush: int = FLUSH) -> Iterator[tuple[int, int, bytes]]:
+    """(row, shard, what payload makes of the shard's merged counts), counts held at ``top``; payloads of ``most`` bytes in all, at most."""
 
     shard_bits = min(SHARD_BITS, bits)
 
@@ -96,7 +106,7 @@ def _collected(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.n
 
     pieces = df.mapInArrow(lambda batches: _counted(batches, items_of, depth, bits, top, flush), "shard long, step int, cell binary, width int, n binary")
     merged = pieces.repartition(partitions, "shard").mapInArrow(merge, "shard long, cells binary")
-    for row in merged.collect():  # at most depth * 2**bits cells in all
+    for row in _received(merged, most):
         yield row["shard"] >> 32, row["shard"] & 0xFFFFFFFF, row["cells"]
 
 
@@ -109,7 +119,7 @@ def build(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarra
     packed = top <= 2
     out = np.zeros((depth, (1 << bits) // 8), np.uint8) if packed else np.zeros((depth, 1 << bits), np.uint32)
     per = out.shape[1] >> max(0, bits - SHARD_BITS)
-    for row, shard, cells_ in _collected(df, items_of, depth, bits, top, partitions, lambda total: (np.packbits(total >= top) if packed else total).tobytes()):
+    for row, shard, cells_ in _collected(df, items_of, depth, bits, top, partitions, lambda total: (np.packbits(total >= top) if packed else total).tobytes(), out.nbytes):
         out[row, shard * per : (shard + 1) * per] = np.frombuffer(cells_, out.dtype)
     return out
 
@@ -126,7 +136,7 @@ def build_order(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.
         most = np.maximum(1, total.reshape(-1, 8).max(axis=1))
         return np.packbits(total >= 2).tobytes() + np.minimum(255, np.round(8 * np.log2(most))).astype(np.uint8).tobytes()
 
-    for _, shard, both in _collected(df, items_of, 1, bits, (1 << 32) - 1, partitions, payload, ORDER_FLUSH):
+    for _, shard, both in _collected(df, items_of, 1, bits, (1 << 32) - 1, partitions, payload, flags.nbytes + levels.nbytes, ORDER_FLUSH):
         own = slice(shard * per, (shard + 1) * per)
         flags[0, own], levels[own] = np.frombuffer(both, np.uint8).reshape(2, per)
     return flags, levels

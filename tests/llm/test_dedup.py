@@ -93,6 +93,20 @@ def test_order_in_little_memory():
     assert most < 60e6, most
 
 
+def test_order_comes_in_pieces(spark):
+    """The driver holds the merged order once and a piece of it, not all rows beside it; it is that of a plain count."""
+    items = np.random.default_rng(2).integers(0, 150_000, 200_000)
+    df = spark.createDataFrame([(x,) for x in items.tolist()], "item long").repartition(3)
+    tracemalloc.start()
+    flags, levels = sketch.build_order(df, lambda batch: iter([batch.column("item").to_numpy().astype(np.uint64)]), 26, 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = np.bincount(sketch.cells(items.astype(np.uint64), 0, 26), minlength=1 << 26)
+    assert (flags[0] == np.packbits(counts >= 2)).all()
+    assert (levels == np.round(8 * np.log2(np.maximum(1, counts.reshape(-1, 8).max(axis=1))))).all()
+    assert most < 1.75 * (flags.nbytes + levels.nbytes), most
+
+
 def test_ngram_chain(spark):
     """A chain of texts, each like the next only, is one class; a hot group costs no pairs."""
     ws = [f"t{i}" for i in range(300)]
