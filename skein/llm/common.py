@@ -29,17 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df in four tasks a core at most, each taking partitions in turn.
+
+    For a table that is small beside its number of partitions: the driver keeps a record of every task, and loops run many stages.
+    """
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def checkpoint(df: DataFrame, small: bool = False) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that all executors share.
 
     ``spark.checkpoint.dir`` is honoured. Only a local session, whose executors are threads of the driver,
     gets a folder of its own where it is unset; on a cluster that is an error. A table that is small beside its number of
-    partitions is written by four tasks a core at most, each taking partitions in turn, so that it isn't
-    scattered over very many files.
+    partitions is written by few() tasks, so that it isn't scattered over very many files.
     """
     context = df.sparkSession.sparkContext
     if small:
-        df = df.coalesce(4 * context.defaultParallelism)
+        df = few(df)
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import sketch
-from skein.llm.common import checkpoint, mix, shingle_sets, table, text_chunks, word_hashes, word_rows
+from skein.llm.common import checkpoint, few, mix, shingle_sets, table, text_chunks, word_hashes, word_rows
 
 _U = np.uint64
 #: Longs of a set's bitmap signature.
@@ -235,24 +235,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
     return _of_pairs(close, docs, texts, "string", link)
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each id of the different edges (v, u), v > u, has one edge to a smaller id alone, or edges to larger ones alone."""
+    ends = edges.select(F.col("v").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("u", F.lit(0), F.lit(1)))
+    ids = few(ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")))
+    return ids.where("up + down > 1").limit(1).count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id that each id of the links (a, b) reaches, by alternating star contractions.
 
     A step joins each node to the least of its neighbours; stars are never gathered in a row, so a node with
-    very many links costs partial aggregates only. Ends when a round leaves the very same edges.
+    very many links costs partial aggregates only. Ends when the edges are stars around the least id of each:
+    a round would then change nothing.
     """
     edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), small=True)
-    while True:
+    while not _are_stars(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Larger neighbours go to the least one of the neighbourhood.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("v"), F.col("m").alias("u"))
+        large = few(both.where("v > u").join(least, "u").select(F.col("v").alias("v"), F.col("m").alias("u")))
         # Then smaller neighbours and the node itself do.
         small_least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(small_least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u").union(small_least.select("v", F.col("m").alias("u")))
-        last, edges = edges, checkpoint(small.distinct(), small=True)
-        if edges.count() == last.count() and edges.join(last, ["v", "u"], "left_anti").isEmpty():
-            return edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
+        small = few(large.join(small_least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v > u")).union(few(small_least.select("v", F.col("m").alias("u"))))
+        edges = checkpoint(small.distinct(), small=True)
+    return edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
 
 
 def _reachable(size_a: Column, size_b: Column, pos_a: Column, pos_b: Column, num: int, den: int) -> Column:

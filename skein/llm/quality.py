@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import checkpoint, table, words_of
+from skein.llm.common import checkpoint, few, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Statistics are held as whole numbers of 1/SCALE, so that their sums do not depend on the order of rows.
@@ -78,27 +78,27 @@ def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     vectors: the distinct feature vectors of each group g that is estimated, each with its number k of rows.
     pairs: each language and source with its g, the array of both, of the language alone, or of nothing.
     """
-    vectors = checkpoint(rows.groupBy("q_lang", "q_source", *FEATURES).agg(F.count("*").alias("k")))
-    pairs = vectors.groupBy("q_lang", "q_source").agg(F.sum("k").alias("n"))
-    langs = pairs.groupBy("q_lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    vectors = checkpoint(rows.groupBy("q_lang", "q_source", *FEATURES).agg(F.count("*").alias("k")), small=True)
+    pairs = few(vectors.groupBy("q_lang", "q_source").agg(F.sum("k").alias("n")))
+    langs = few(pairs.groupBy("q_lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least")))
     own, lang, whole = F.array("q_lang", "q_source"), F.array("q_lang"), F.array().cast("array<string>")
-    pairs = checkpoint(pairs.join(langs, "q_lang").withColumn("g", F.when(F.col("n") >= LEAST_ROWS, own).when(F.col("n_lang") >= LEAST_ROWS, lang).otherwise(whole)))
-    n_groups = pairs.select("g").distinct().count()
+    pairs = checkpoint(pairs.join(langs, "q_lang").withColumn("g", F.when(F.col("n") >= LEAST_ROWS, own).when(F.col("n_lang") >= LEAST_ROWS, lang).otherwise(whole)), small=True)
+    n_groups = few(pairs.select("g").distinct()).count()
     any_whole = F.lit(pairs.where(F.size("g") == 0).limit(1).count() > 0)
     by_lang = (F.col("least") < LEAST_ROWS) & (F.col("n_lang") >= LEAST_ROWS)
     of = F.array_compact(F.array(F.when(F.size("g") == 2, own), F.when(by_lang, lang), F.when(any_whole, whole)))
     vectors = vectors.join(pairs, ["q_lang", "q_source"]).select(F.explode_outer(of).alias("g"), *FEATURES, "k")
-    return checkpoint(vectors.groupBy("g", *FEATURES).agg(F.sum("k").alias("k"))), pairs.select("q_lang", "q_source", "g"), n_groups
+    return checkpoint(vectors.groupBy("g", *FEATURES).agg(F.sum("k").alias("k")), small=True), pairs.select("q_lang", "q_source", "g"), n_groups
 
 
 def _estimate(vectors: DataFrame, keys: list[str], correction: float) -> DataFrame:
     """Mean, inverse Cholesky factor and log determinant of the covariance of each group, from exact whole-number sums."""
     pairs = [(i, j) for i in range(4) for j in range(i + 1)]
-    sums = vectors.groupBy(*keys).agg(
+    sums = few(vectors.groupBy(*keys).agg(
         F.sum("k").alias("n"),
         *[F.sum(F.col("k") * F.col(x)).alias(f"s{i}") for i, x in enumerate(FEATURES)],
         *[F.sum((F.col("k") * F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("decimal(38,0)")).alias(f"p{i}{j}") for i, j in pairs],
-    )
+    ))
     mean = [F.col(f"s{i}") / F.col("n") / SCALE for i in range(4)]
     cov = {(i, j): F.col(f"p{i}{j}").cast("double") / F.col("n") / SCALE**2 - mean[i] * mean[j] for i, j in pairs}
     out = sums.select(
@@ -136,10 +136,10 @@ def _starts(vectors: DataFrame, n_groups: int) -> DataFrame:
     Quantiles are exact: they count the whole-number values of each feature.
     """
     k, n = F.col("k"), len(QUANTILES)
-    centres = vectors.groupBy("g").agg(*[F.percentile(x, list(QUANTILES), k).alias(f"h{i}") for i, x in enumerate(FEATURES)])
+    centres = few(vectors.groupBy("g").agg(*[F.percentile(x, list(QUANTILES), k).alias(f"h{i}") for i, x in enumerate(FEATURES)]))
     apart = vectors.join(F.broadcast(centres) if n_groups <= BROADCAST_GROUPS else centres, "g")
     scales = [F.percentile(F.abs(F.col(x) - F.get(f"h{i}", F.lit(q))), 0.5, k).alias(f"a{i}{q}") for i, x in enumerate(FEATURES) for q in range(n)]
-    found = apart.groupBy("g").agg(*[F.first(f"h{i}").alias(f"h{i}") for i in range(4)], *scales)
+    found = few(apart.groupBy("g").agg(*[F.first(f"h{i}").alias(f"h{i}") for i in range(4)], *scales))
 
     def values(q: int) -> list[Column]:
         sds = [F.greatest(1.4826 * F.col(f"a{i}{q}") / SCALE, F.lit(FLOOR[i])) for i in range(4)]
@@ -158,30 +158,31 @@ def mcd_estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     Concentration steps from each of the starts: a step keeps the SHARE of the group that lies nearest and
     estimates anew, for as long as that lowers the determinant. Which rows lie nearest is read from a
     histogram of distances in 1/8 octaves, counted over all rows of the group. The start that ends with the
-    least determinant gives the group's estimate, made anew over all vectors within NEAR of it.
+    least determinant gives the group's estimate, made anew over all vectors within NEAR of it. Histograms and
+    estimates are small whatever the number of rows, so each stage of a step runs in few() tasks.
     """
     vectors, pairs, n_groups = _groups(rows.where("NOT q_failed"))
     n_starts = n_groups * (1 + len(QUANTILES))
     keys = ["g", "start"]
-    state = checkpoint(_starts(vectors, n_groups).withColumns({"det": F.lit(float("inf")), "moving": F.lit(True)}))
+    state = checkpoint(_starts(vectors, n_groups).withColumns({"det": F.lit(float("inf")), "moving": F.lit(True)}), small=True)
     while state.where("moving").limit(1).count():
         placed = _with_distance(vectors, state.where("moving").drop("det", "moving"), ["g"], n_starts).where("start IS NOT NULL")
         placed = placed.withColumn("bin", F.floor(8 * F.log2(F.col("d2") + 1e-6)).cast("int")).select(*keys, *FEATURES, "k", "bin")
-        bins = placed.groupBy(*keys, "bin").agg(F.sum("k").alias("k"))
+        bins = few(placed.groupBy(*keys, "bin").agg(F.sum("k").alias("k")))
         whole = Window.partitionBy(*keys)
         bins = bins.withColumns({"up": F.sum("k").over(whole.orderBy("bin")), "all": F.sum("k").over(whole)})
-        limits = bins.where(F.col("up") >= F.col("all") * SHARE).groupBy(*keys).agg(F.min("bin").alias("limit"))
+        limits = few(bins.where(F.col("up") >= F.col("all") * SHARE).groupBy(*keys).agg(F.min("bin").alias("limit")))
         near = placed.join(F.broadcast(limits) if n_starts <= BROADCAST_GROUPS else limits, keys).where("bin <= limit")
         step = _estimate(near, keys, CORRECTION)
-        new = F.struct(*[c for c in step.columns if c not in keys])
-        both = state.join(step.select(*keys, new.alias("new")), keys, "left")
+        new = step.select(*keys, F.struct(*[c for c in step.columns if c not in keys]).alias("new"))
+        both = state.join(F.broadcast(new) if n_starts <= BROADCAST_GROUPS else new, keys, "left")
         lower = F.coalesce(F.col("new.det") < F.col("det") - CONVERGED, F.lit(False))
-        state = checkpoint(both.select(*keys, *[F.when(lower, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in step.columns if c not in keys], lower.alias("moving")))
+        state = checkpoint(both.select(*keys, *[F.when(lower, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in step.columns if c not in keys], lower.alias("moving")), small=True)
     values = F.struct(*[c for c in state.columns if c not in ("g", "moving")])
-    least = state.groupBy("g").agg(F.min_by(values, F.struct("det", "start")).alias("v")).select("g", "v.*").drop("det", "start")
+    least = few(state.groupBy("g").agg(F.min_by(values, F.struct("det", "start")).alias("v"))).select("g", "v.*").drop("det", "start")
     near = _with_distance(vectors, least, ["g"], n_groups).where(F.col("d2") <= NEAR)
     estimates = _estimate(near, ["g"], NEAR_CORRECTION).drop("det")
-    estimates = checkpoint(pairs.join(estimates, "g").drop("g"))
+    estimates = checkpoint(pairs.join(F.broadcast(estimates) if n_groups <= BROADCAST_GROUPS else estimates, "g").drop("g"), small=True)
     return estimates, estimates.count()
 
 

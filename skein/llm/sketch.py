@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 
-from skein.llm.common import checkpoint, mix
+from skein.llm.common import checkpoint, few, mix
 
 _U = np.uint64
 SHARD_BITS = 17
@@ -86,7 +86,7 @@ def _counted(batches: Iterator[pa.RecordBatch], items_of: Callable[[pa.RecordBat
 def _received(merged: DataFrame, most: int) -> Iterator[Row]:
     """The rows of merged, ``most`` bytes at most: those of a large sketch a few partitions at a time, as the driver would hold them several times over."""
     if most <= PIECE:
-        yield from merged.collect()
+        yield from few(merged).collect()
     else:
         yield from checkpoint(merged, small=True).coalesce(-(-most // PIECE)).toLocalIterator()
 
