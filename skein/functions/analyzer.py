@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,16 +39,26 @@ def lexeme(word: str, language: str) -> str | None:
     return None if word in stop_words(language) else stem(word, language)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems(tokens: pd.Series, config: pd.Series) -> pd.Series:
-    one = cache(stem)
-    return pd.Series([None if ws is None else [one(w, c) for w in ws] for ws, c in zip(tokens, config, strict=True)])
-
-
-@F.pandas_udf(T.StringType())
-def _stem_of(token: pd.Series, config: pd.Series) -> pd.Series:
-    one = cache(stem)  # of one batch
-    return pd.Series([one(w, c) for w, c in zip(token, config, strict=True)], dtype=object)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stems(tokens: pa.Array, config: pa.Array) -> pa.Array:
+    """Each distinct word of a batch and language is stemmed once; the rest are numbers."""
+    words, config = tokens.flatten().dictionary_encode(), config.dictionary_encode()
+    lists = np.diff(tokens.offsets.to_numpy()) if len(tokens) else np.array([], int)
+    if tokens.null_count:
+        lists = np.where(tokens.is_valid().to_numpy(zero_copy_only=False), lists, 0)
+    known, number = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+    languages = np.repeat(config.indices.fill_null(-1).to_numpy(zero_copy_only=False), lists)
+    out = np.zeros(len(number), np.int64)
+    stemmed: list[str] = []
+    for code in np.unique(languages):
+        own = languages == code
+        some, place = np.unique(number[own], return_inverse=True)
+        out[own] = place + len(stemmed)
+        language = config.dictionary[int(code)].as_py() if code >= 0 else ""
+        stemmed += [stem(known[i], language) for i in some]
+    values = pa.array(stemmed, pa.string()).take(pa.array(out))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, values, mask=tokens.is_null())
 
 
 def has_stemmer(languages: list[str]) -> bool:
@@ -59,11 +70,6 @@ def stems(tokens: Column, config: Column, languages: list[str]) -> Column:
     return _stems(tokens, config) if has_stemmer(languages) else tokens
 
 
-def stem_of(token: Column, config: Column, languages: list[str]) -> Column:
-    """The same of one token."""
-    return _stem_of(token, config) if has_stemmer(languages) else token
-
-
 def is_stop_word(token: Column, config: Column, languages: list[str]) -> Column:
     out = F.lit(False)
     for language in languages:
