@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,8 +199,11 @@ def _is_search(query: SimpleQuery) -> bool:
     return query.kind == TEXT and query.field in INDEXED_TEXT
 
 
-def rows_of_request(docs: DataFrame, postings: DataFrame, request: SearchRequest, tokens_: Sequence[str], languages: Sequence[str]) -> DataFrame:
-    """docs that meet all conditions of a request but the words, typed searches of single fields included."""
+def rows_of_request(docs: DataFrame, postings: DataFrame | Callable[..., DataFrame], request: SearchRequest, tokens_: Sequence[str], languages: Sequence[str]) -> DataFrame:
+    """docs that meet all conditions of a request but the words, typed searches of single fields included.
+
+    postings: a table, or what makes them, see limited().
+    """
     out = docs.where(of_request(request, tokens_, languages))
     for q in request.simple:
         if _is_search(q):
